@@ -97,8 +97,8 @@ def decisions(
     decided = landed.join(repeated, "digest", "left").select(
         "doc_id", "uid", "digest", "text_sha256", F.coalesce("first.order_id", "order_id").alias("keep_order"), F.coalesce("first.uid", "uid").alias("keep_uid"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce("first.locator", "locator").alias("locator")
     )
-    wrong = scratch.save(collided(rows, repeated, digest), "collided")
-    scratch.drop("stream")
+    wrong = scratch.save(collided(scratch, rows, repeated, digest), "collided")
+    scratch.drop("stream", "hits", "keepers")
     if wrong.limit(1).count():
         decided = regrouped(scratch, rows, landed, wrong, digest)
     return decided.select(
@@ -111,15 +111,16 @@ def decisions(
     )
 
 
-def collided(rows: DataFrame, repeated: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def collided(scratch: Scratch, rows: DataFrame, repeated: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Digests of which some hit's full bytes differ from the keeper's."""
     groups = repeated.select("digest", F.col("first.order_id").alias("keep_order"))
     if groups.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4:
         groups = F.broadcast(groups)
-    hits = rows.withColumn("digest", digest(F.col("norm"))).join(groups, "digest")
     own = F.coalesce("doc_id", F.lit(LAST)) == F.col("keep_order")
-    keepers = hits.where(own).groupBy("digest").agg(F.min("norm").alias("keeper"))
-    return hits.where(~own).join(keepers, "digest").where("norm <> keeper").select("digest").distinct()
+    hits = scratch.save(rows.withColumn("digest", digest(F.col("norm"))).join(groups, "digest").select("digest", "norm", own.alias("own")), "hits")
+    # written, so that the join reads two plain shuffles, of which Spark can split a large key
+    keepers = scratch.save(hits.where("own").groupBy("digest").agg(F.min("norm").alias("keeper")), "keepers")
+    return hits.where("not own").join(keepers, "digest").where("norm <> keeper").select("digest").distinct()
 
 
 def regrouped(scratch: Scratch, rows: DataFrame, landed: DataFrame, wrong: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
