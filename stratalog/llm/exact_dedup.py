@@ -100,7 +100,7 @@ def decisions(
     wrong = scratch.save(collided(scratch, rows, repeated, digest), "collided")
     scratch.drop("stream", "hits", "keepers")
     if wrong.limit(1).count():
-        decided = regrouped(scratch, rows, landed, wrong, digest)
+        decided = regrouped(landed, wrong.distinct())
     return decided.select(
         "doc_id",
         F.when(F.col("keep_order") < LAST, F.col("keep_order")).alias("keep_id"),
@@ -112,7 +112,7 @@ def decisions(
 
 
 def collided(scratch: Scratch, rows: DataFrame, repeated: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """Digests of which some hit's full bytes differ from the keeper's."""
+    """A digest for each hit whose full bytes differ from the keeper's. No aggregate follows the join: it would keep Spark from splitting a large key."""
     groups = repeated.select("digest", F.col("first.order_id").alias("keep_order"))
     if groups.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4:
         groups = F.broadcast(groups)
@@ -120,10 +120,10 @@ def collided(scratch: Scratch, rows: DataFrame, repeated: DataFrame, digest: Cal
     hits = scratch.save(rows.withColumn("digest", digest(F.col("norm"))).join(groups, "digest").select("digest", "norm", own.alias("own")), "hits")
     # written, so that the join reads two plain shuffles, of which Spark can split a large key
     keepers = scratch.save(hits.where("own").groupBy("digest").agg(F.min("norm").alias("keeper")), "keepers")
-    return hits.where("not own").join(keepers, "digest").where("norm <> keeper").select("digest").distinct()
+    return hits.where("not own").join(keepers, "digest").where("norm <> keeper").select("digest")
 
 
-def regrouped(scratch: Scratch, rows: DataFrame, landed: DataFrame, wrong: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def regrouped(landed: DataFrame, wrong: DataFrame) -> DataFrame:
     """The decisions with a second, longer key from the full bytes for the digests that collided."""
     exact = landed.join(wrong.withColumn("wrong", F.lit(True)), "digest", "left").withColumn("key", F.when(F.col("wrong"), F.col("text_sha256")))
     groups = exact.groupBy("digest", F.coalesce("key", F.lit("")).alias("key")).agg(F.min(F.struct("order_id", "uid", "locator")).alias("first"), F.count("*").alias("group_size"))
