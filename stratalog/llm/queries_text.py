@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, warc
-from . import bpe
+from . import bpe, exact_dedup, language, mixing, near_dedup, quality, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -21,6 +20,23 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return str(public_tokenizers.path(name))
 
 
+def remainder(parts: int) -> Column:
+    """crc32 of doc_id as text, modulo `parts`."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    return quality.scored(docs, weights).withColumn("held_out", F.coalesce(remainder(3) == 1, F.lit(False)))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, remainder(4) != 2)
+    return language.identified(docs, model).withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), like=near_dedup.Likeness(shingle=2))
 
