@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, near_dedup, personal, quality, warc
+from . import bpe, exact_dedup, language, mixing, near_dedup, personal, quality, substrings, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -25,6 +25,10 @@ def remainder(parts: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cleaned(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(personal.detected(table(spark, sf_dir, "documents")))
 
