@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, near_dedup, personal, quality, substrings, warc
+from . import bpe, exact_dedup, language, media, mixing, near_dedup, personal, quality, substrings, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -39,6 +39,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, weights).withColumn("held_out", F.coalesce(remainder(3) == 1, F.lit(False)))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, remainder(4) != 2)
