@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .scratch import col
 from .textkit import SLICE_BYTES, U64, mix, slices, text_of, words
@@ -163,9 +164,11 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> n
     return path
 
 
-def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, whole: bool = False) -> DataFrame:
     """One row per input row: doc_id, lang_pred, score and, with spans, spans (array of first word, word after the last, language).
 
+    With `whole`, doc (a struct of all columns of the row) stands in place of doc_id.
+
     score is the share of the letter-bearing bytes that lie in spans of lang_pred. Null
     texts and texts without a letter are `und` with score 0 and no spans; a text whose
     scripts were never learned gets the first language by name with score 0. Ties go to
@@ -173,7 +176,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [*model.names, UNKNOWN]
-    columns = ["doc_id", "lang_pred", "score"] + ["spans"] * spans
+    columns = ["doc" if whole else "doc_id", "lang_pred", "score"] + ["spans"] * spans
 
     def finish(ids, flags, parts):
         """Rows of the texts gathered so far."""
@@ -214,8 +217,16 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         if ids:
             yield finish(ids, flags, parts)
 
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    kinds = "doc_id bigint, lang_pred string, score double" + ", spans array<struct<start: bigint, end: bigint, lang: string>>" * spans
+    first = F.struct(*(col(c) for c in docs.columns)).alias("doc") if whole else col(id_col).cast("long").alias("doc_id")
+    rows = docs.select(first, col(text_col).cast("string").alias("__text"))
+    found = "array<struct<start: bigint, end: bigint, lang: string>>"
+    kinds = StructType([rows.schema[0]]).add("lang_pred", "string").add("score", "double")
     if not model.names:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *([F.array().cast("array<struct<start: bigint, end: bigint, lang: string>>").alias("spans")] * spans))
-    return rows.mapInArrow(run, kinds)
+        return rows.select(columns[0], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *([F.array().cast(found).alias("spans")] * spans))
+    return rows.mapInArrow(run, kinds.add("spans", found) if spans else kinds)
+
+
+def drop_unidentified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """`docs` without the rows whose language is unknown, or of which no language covers the share `least`; all columns stay."""
+    found = identified(docs, model, id_col, text_col, whole=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
