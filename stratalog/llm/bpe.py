@@ -23,7 +23,7 @@ from .scratch import col
 from .textkit import slices, text_of
 
 #: Encoded words that a task keeps; beyond it the memory is emptied, and words are merged again.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 NO_RANK = np.iinfo(np.int64).max
 #: Fixed value: white space as the vocabulary's pattern engine has it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -38,7 +38,7 @@ def keyed_state(spark: SparkSession, scratch: Scratch, landed: DataFrame, files_
     settings = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space laid out ahead
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }

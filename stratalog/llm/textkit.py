@@ -12,7 +12,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; the arrays of a slice take some 60 times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def slices(ids, texts, limit: int = SLICE_BYTES):
