@@ -213,9 +213,9 @@ def hot_chunks(v: Views) -> DataFrame:
     return recent.groupBy("hash").agg(F.count("*").alias("hourly")).orderBy(F.desc("hourly"), "hash").limit(100)
 
 
-@query(f"SELECT user_id AS hash, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '{NOW}' - INTERVAL 3 DAYS")
+@query(f"SELECT user_id AS hash, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '{NOW}' - INTERVAL 1 DAYS")
 def cold_chunks(v: Views) -> DataFrame:
-    return v.access.groupBy("hash").agg(F.max("ts").alias("last")).where(f"last < timestamp_ntz'{NOW}' - interval 3 days")
+    return v.access.groupBy("hash").agg(F.max("ts").alias("last")).where(f"last < timestamp_ntz'{NOW}' - interval 1 days")
 
 
 @query("SELECT event_id AS id, ts, event_type, user_id AS actor_uid FROM events WHERE event_type IN ('error', 'purchase') AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts, id LIMIT 100")
