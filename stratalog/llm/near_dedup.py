@@ -3,13 +3,15 @@
 1. A sketch of every document: the number of its distinct shingles, a digest of the whole
    set and the minima of many universal hashes over it. Documents with equal sets form a
    class at once; from here on only the smallest id of each class travels.
-2. Bands of the minima give buckets. A bucket links each member to its smallest id, never
-   all pairs. The signatures discard clear misses, the full sets confirm.
-3. Components by alternating large-star and small-star.
-4. A link can hide in a bucket whose members did not all match its smallest id. For the
-   members of such buckets a prefix join is exact: ordered by rarity, two sets at the
-   threshold share one of their first rarest shingles. New pairs are confirmed on the full
-   sets, and the components are formed again.
+2. Bands of the minima give buckets. A bucket links each member to its hub, never all
+   pairs: the member that shares most buckets with others, in later rounds another one.
+   The signatures discard clear misses, the full sets confirm.
+3. Components by alternating large-star and small-star. Buckets whose members are of
+   several components go into the next round.
+4. A link can hide in a bucket that stays unsettled after all rounds. For the members of
+   such buckets a prefix join is exact: ordered by rarity, two sets at the threshold share
+   one of their first rarest shingles. New pairs are confirmed on the full sets, and the
+   components are formed again.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ from .textkit import U64, flat, lower_ascii, mix, slices, span_hashes, words
 BANDS, ROWS = 32, 4
 #: A pair whose share of equal minima is below threshold - SLACK is no match: five standard errors of 128 minima.
 SLACK = 0.2
+#: Rounds of links to a hub of each bucket, before the exact search for what is left.
+ROUNDS = 3
+#: 64-bit words of the bits that bound from below how many shingles two sets do not share.
+ODD = 8
 #: Shingles whose 128 hashes are computed at once.
 BLOCK = 1 << 14
 
@@ -123,16 +129,19 @@ def sketches(docs: DataFrame, like: Likeness, bands: int, rows: int) -> DataFram
 
 
 def full_sets(docs: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, shingles (array of distinct hashes)."""
+    """doc_id, shingles (array of distinct hashes), odd (for each of 512 bins of hashes, a bit that tells an odd number of them)."""
 
     def run(batches):
         for batch in batches:
             for ids, texts in slices(batch.column(0), batch.column(1)):
                 values, counts = shingle_sets(texts, like.shingle)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "shingles"])
+                odd = np.zeros((len(counts), ODD), U64)
+                np.bitwise_xor.at(odd, (np.repeat(np.arange(len(counts)), counts), (values >> U64(6)) % U64(ODD)), U64(1) << (values & U64(63)))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * ODD), pa.array(odd.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, lists, bits], ["doc_id", "shingles", "odd"])
 
-    return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>, odd array<bigint>")
 
 
 def alike_signatures(pairs: DataFrame, least: int) -> DataFrame:
@@ -181,27 +190,46 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def hub_pairs(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member and the hub of its bucket, where these have different roots; the least rank makes the hub."""
+    hubs = rooted.groupBy("bucket").agg(F.min(F.struct("rank", "doc_id", "root")).alias("hub"))
+    met = rooted.select("bucket", "doc_id", "root").join(hubs, "bucket").where("root <> hub.root")
+    return met.select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
+
+
+def signed(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs with the signatures of both, sa and sb."""
+    for side in "ab":
+        pairs = pairs.join(signs.select(F.col("doc_id").alias(side), F.col("signature").alias(f"s{side}")), side)
+    return pairs
+
+
 def rare_pairs(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents of different roots that share a shingle among their rarest: no pair at the threshold is missed.
 
     Of n shingles by rarity the first n - ceil(n * percent / 100) + 1 are a document's
-    prefix; sets at the threshold meet in their prefixes.
+    prefix; sets at the threshold meet in their prefixes. All they share lies at or after
+    the first shingle that they share, so what follows its place in both must suffice. And a
+    bin whose counts of shingles are odd in one set and even in the other holds at least one
+    that they do not share; at the threshold few enough bins may differ.
     """
-    tokens = open_docs.join(sets, "doc_id").select("doc_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    tokens = open_docs.join(sets, "doc_id").select("doc_id", "root", "odd", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(counts.where("often > 1"), "token", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     prefix = (
-        ranked.groupBy("doc_id", "root", "n")
+        ranked.groupBy("doc_id", "root", "odd", "n")
         .agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("sorted"))
-        .select("doc_id", "root", "n", F.explode(F.slice("sorted", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("at"))
+        .select("doc_id", "root", "odd", "n", F.posexplode(F.slice("sorted", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("place", "at"))
         .where("at.often > 1")
-        .select("doc_id", "root", "n", F.col("at.token").alias("token"))
+        .select("doc_id", "root", "odd", "n", (F.col("n") - F.col("place")).alias("rest"), F.col("at.token").alias("token"))
     )
     mixed = prefix.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     prefix = prefix.join(mixed, "token")
-    left = prefix.select("token", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    right = prefix.select("token", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    left = prefix.select("token", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rest").alias("la"), F.col("odd").alias("oa"))
+    right = prefix.select("token", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rest").alias("lb"), F.col("odd").alias("ob"))
+    fits = F.least("la", "lb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    apart = sum(F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(ODD))
+    fits = fits & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
     return left.join(right, "token").where((F.col("ra") < F.col("rb")) & fits).select("a", "b").distinct()
 
 
@@ -224,24 +252,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width = rows * 4
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width))))
     members = chosen.select("doc_id", F.explode(cut).alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("bucket", "hub")
-    members = scratch.save(members.join(hubs, "bucket"), "members")
-    pairs = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    signs = chosen.select("doc_id", "signature")
+    members = scratch.save(members.join(members.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"), "bucket"), "members")
+    weights = scratch.save(members.groupBy("doc_id").agg(F.sum("held").alias("weight")), "weights")
+    sets = scratch.save(full_sets(rows_in(texts, weights, "doc_id", "left_semi"), like).dropDuplicates(["doc_id"]), "sets")
+    signs = scratch.save(chosen.join(weights.select("doc_id"), "doc_id").select("doc_id", "signature"), "signs")
     least = int(bands * rows * (like.percent / 100 - SLACK))
-    pairs = pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), "a").join(signs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb")), "b")
-    pairs = scratch.save(alike_signatures(pairs, least), "pairs")
-    open_ids = members.select("doc_id").distinct()
-    one_text = rows_in(texts, open_ids, "doc_id", "left_semi")
-    sets = scratch.save(full_sets(one_text, like).dropDuplicates(["doc_id"]), "sets")
-    links = scratch.save(confirmed(pairs, sets, like.percent), "links")
-    roots = components(links, scratch)
-    # buckets whose members are of several components may hide a link
-    rooted = members.join(roots, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    unsettled = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_docs = scratch.save(rooted.join(unsettled, "bucket").select("doc_id", "root").distinct(), "open")
+    rooted = members.join(weights, "doc_id").select("bucket", "doc_id", F.col("doc_id").alias("root"), F.negative("weight").alias("rank"))
+    rooted, roots = scratch.save(rooted, "rooted-0"), weights.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root"))
+    for k in range(1, ROUNDS + 1):
+        pairs = scratch.save(alike_signatures(signed(hub_pairs(rooted), signs), least), f"pairs-{k}")
+        links = scratch.save(confirmed(pairs, sets, like.percent), f"links-{k}")
+        if not links.limit(1).count():
+            break
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), scratch, f"cc-{k}")
+        found = rooted.drop("root").join(roots, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        unsettled = found.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        rooted = scratch.save(found.join(unsettled, "bucket").withColumn("rank", F.xxhash64("doc_id", F.lit(k))), f"rooted-{k}")
+        scratch.drop(f"rooted-{k - 1}", f"pairs-{k}", f"links-{k}")
+    open_docs = scratch.save(rooted.select("doc_id", "root").distinct(), "open")
     more = scratch.save(confirmed(rare_pairs(open_docs, sets, like.percent), sets, like.percent), "more")
-    scratch.drop("members", "pairs", "sets")
+    scratch.drop("members", "weights", "signs", "sets")
     if more.limit(1).count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch, "again")
     classes = classes.join(roots, F.col("rep") == F.col("node"), "left").select("whole", F.coalesce("root", "rep").alias("component"))
