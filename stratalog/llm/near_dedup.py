@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         scratch.drop(f"rooted-{k - 1}", f"pairs-{k}", f"links-{k}")
     open_docs = scratch.save(rooted.select("doc_id", "root").distinct(), "open")
     more = scratch.save(confirmed(rare_pairs(open_docs, sets, like.percent), sets, like.percent), "more")
-    scratch.drop("members", "weights", "signs", "sets")
+    scratch.drop("members", "signs", "sets")
     if more.limit(1).count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch, "again")
     classes = classes.join(roots, F.col("rep") == F.col("node"), "left").select("whole", F.coalesce("root", "rep").alias("component"))
