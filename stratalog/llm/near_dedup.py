@@ -204,7 +204,7 @@ def signed(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return pairs
 
 
-def rare_pairs(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def rare_pairs(open_docs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of documents of different roots that share a shingle among their rarest: no pair at the threshold is missed.
 
     Of n shingles by rarity the first n - ceil(n * percent / 100) + 1 are a document's
@@ -213,18 +213,20 @@ def rare_pairs(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     bin whose counts of shingles are odd in one set and even in the other holds at least one
     that they do not share; at the threshold few enough bins may differ.
     """
-    tokens = open_docs.join(sets, "doc_id").select("doc_id", "root", "odd", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    ranked = tokens.join(counts.where("often > 1"), "token", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    about = open_docs.join(sets.select("doc_id", "odd", F.size("shingles").alias("n")), "doc_id")
+    tokens = sets.join(open_docs.select("doc_id"), "doc_id").select("doc_id", F.explode("shingles").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    shared = tokens.join(counts, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("sorted"))
+    # shingles of one document only come first in the order and meet nothing
+    alone, most = F.col("n") - F.size("sorted"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = (
-        ranked.groupBy("doc_id", "root", "odd", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("sorted"))
-        .select("doc_id", "root", "odd", "n", F.posexplode(F.slice("sorted", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("place", "at"))
-        .where("at.often > 1")
-        .select("doc_id", "root", "odd", "n", (F.col("n") - F.col("place")).alias("rest"), F.col("at.token").alias("token"))
+        shared.join(about.select("doc_id", "root", "n"), "doc_id")
+        .select("doc_id", "root", (F.col("n") - alone).alias("rest"), F.posexplode(F.slice("sorted", F.lit(1), F.greatest(most - alone, F.lit(0)).cast("int"))).alias("place", "at"))
+        .select("doc_id", "root", (F.col("rest") - F.col("place")).alias("rest"), F.col("at.token").alias("token"))
     )
+    prefix = scratch.save(prefix, "prefix")
     mixed = prefix.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    prefix = prefix.join(mixed, "token")
+    prefix = scratch.save(prefix.join(mixed, "token").join(about.select("doc_id", "n", "odd"), "doc_id"), "mixed")
     left = prefix.select("token", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rest").alias("la"), F.col("odd").alias("oa"))
     right = prefix.select("token", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rest").alias("lb"), F.col("odd").alias("ob"))
     fits = F.least("la", "lb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
@@ -270,8 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rooted = scratch.save(found.join(unsettled, "bucket").withColumn("rank", F.xxhash64("doc_id", F.lit(k))), f"rooted-{k}")
         scratch.drop(f"rooted-{k - 1}", f"pairs-{k}", f"links-{k}")
     open_docs = scratch.save(rooted.select("doc_id", "root").distinct(), "open")
-    more = scratch.save(confirmed(rare_pairs(open_docs, sets, like.percent), sets, like.percent), "more")
-    scratch.drop("members", "signs", "sets")
+    more = scratch.save(confirmed(rare_pairs(open_docs, sets, like.percent, scratch), sets, like.percent), "more")
+    scratch.drop("members", "signs", "sets", "prefix", "mixed")
     if more.limit(1).count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch, "again")
     classes = classes.join(roots, F.col("rep") == F.col("node"), "left").select("whole", F.coalesce("root", "rep").alias("component"))
