@@ -57,16 +57,23 @@ def sequence_gaps(rows: DataFrame) -> DataFrame:
     return numbered.withColumn("before", before).where("seq - before > 1").select("node", (F.col("before") + 1).alias("first_lost"), (F.col("seq") - 1).alias("last_lost"))
 
 
-def retained(items: DataFrame, days: int = 7, weeks: int = 4) -> DataFrame:
-    """Grandfather-father-son retention per volume: the newest item of each of the last days that have one, then of the weeks before."""
-    newest = lambda by: Window.partitionBy("volume_id", by).orderBy(F.desc("created_at"), F.desc("file_id"))
-    last = lambda by: Window.partitionBy("volume_id").orderBy(F.desc(by))
-    dated = items.select("volume_id", "file_id", "created_at", F.to_date("created_at").alias("day"))
-    daily = dated.withColumn("n", F.row_number().over(newest("day"))).where("n = 1").drop("n").withColumn("n", F.row_number().over(last("day")))
-    first_stage = daily.where(F.col("n") <= days).select("volume_id", "file_id", F.lit("day").alias("stage"))
-    # what the days keep reaches back to a week that is not claimed twice
-    weekly = daily.where(F.col("n") > days).withColumn("week", F.date_trunc("week", "day").cast("date")).withColumn("m", F.row_number().over(newest("week"))).where("m = 1").withColumn("m", F.row_number().over(last("week"))).where(F.col("m") <= weeks)
-    return first_stage.union(weekly.select("volume_id", "file_id", F.lit("week").alias("stage")))
+def retained(items: DataFrame, now: str, days: int = 7, weeks: int = 4, months: int = 12) -> DataFrame:
+    """Grandfather-father-son retention per volume: the newest item of a day, then of an ISO week, then of a month.
+
+    Each stage keeps at most so many, the latest first, of the items younger than 7 days,
+    28 days and 372 days at `now`, and works on all items that the stages before it left.
+    """
+    kept = None
+    for stage, unit, most, age in (("day", "day", days, 7), ("week", "week", weeks, 28), ("month", "month", months, 372)):
+        left = items.select("volume_id", "file_id", "created_at").where(F.col("created_at") > F.expr(f"timestamp_ntz'{now}' - interval {age} days"))
+        if kept is not None:
+            k = kept.select(F.col("volume_id").alias("kept_volume"), F.col("file_id").alias("kept_file"))
+            left = left.join(k, F.col("volume_id").eqNullSafe(F.col("kept_volume")) & F.col("file_id").eqNullSafe(F.col("kept_file")), "left_anti")
+        newest = left.groupBy("volume_id", F.date_trunc(unit, "created_at").alias("unit")).agg(F.max(F.struct("created_at", "file_id")).alias("top"))
+        place = F.row_number().over(Window.partitionBy("volume_id").orderBy(F.desc("unit")))
+        found = newest.withColumn("n", place).where(F.col("n") <= most).select("volume_id", "top.file_id", F.lit(stage).alias("stage"))
+        kept = found if kept is None else kept.union(found)
+    return kept
 
 
 def latest(rows: DataFrame, group: str, order: list[str]) -> DataFrame:

@@ -176,7 +176,7 @@ def sequence_gaps(v: Views) -> DataFrame:
     UNION ALL SELECT volume_id, file_id, 'week' FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY w DESC) AS m FROM (SELECT volume_id, date_trunc('week', d) AS w, arg_max(file_id, d) AS file_id
     FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY d DESC) AS n FROM (SELECT volume_id, created_at::DATE AS d, arg_max(file_id, (created_at, file_id)) AS file_id FROM v_files GROUP BY ALL)) WHERE n > 7 GROUP BY ALL)) WHERE m <= 4""")
 def retained_backups(v: Views) -> DataFrame:
-    return ordered.retained(v.files)
+    return ordered.retained(v.files, NOW_ORDERS)
 
 
 @query("SELECT node, max((ts, event_id)).ts AS ts, max((ts, event_id)).event_id AS event_id FROM (SELECT user_id % 3 AS node, ts, event_id FROM events) GROUP BY 1".replace("max((ts, event_id))", "max({'ts': ts, 'event_id': event_id})"))
