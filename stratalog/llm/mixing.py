@@ -26,6 +26,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def shuffled(doc_id: Column) -> Column:
+    """The digest by which a source's documents are put in order."""
+    return F.sha2(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), 256)
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """source, source_size -> with weight, target, horizon (the virtual time of the cut).
 
@@ -63,7 +68,7 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.save(
         docs.select(col(id_col).cast("long").alias("doc_id"), col(source_col).cast("string").alias("source"), word_count(col(text_col)).alias("size")).select(
-            "*", F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256).alias("shuffle")
+            "*", shuffled(F.col("doc_id")).alias("shuffle")
         ),
         "sized",
     ).withColumn("run", F.substring("shuffle", 1, RUN_DIGITS))
@@ -95,26 +100,48 @@ def in_order(scheduled: DataFrame) -> DataFrame:
     )
 
 
+def cuts(scheduled: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per source: source, least, last, room.
+
+    Each document with words gets `least` whole copies, and those up to `last`, a shuffle
+    digest and a size, one more: a copy is taken if no less than half of it lies before
+    the source's cut. `room` is null but where rows with one id and size lie on both sides
+    of the cut; then so many of them get the copy more.
+    """
+    cut = F.floor(F.col("target"))
+    copies = sum(F.when(2 * (cut - F.col("start") - F.col("source_size") * e) >= F.col("size"), 1).otherwise(0) for e in range(EPOCHS))
+    plan = scratch.save(scheduled.where("size > 0").select("source", "doc_id", "size", copies.alias("copies")), "plan")
+    keyed = plan.select("source", "copies", F.struct(shuffled(F.col("doc_id")).alias("shuffle"), "size").alias("key"))
+    # the starts of a source's documents are less than its size apart: their copies differ by one at most
+    sides = keyed.groupBy("source", "copies").agg(F.min("key").alias("low"), F.max("key").alias("top"))
+    per = sides.groupBy("source").agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.min_by("low", "copies").alias("low"), F.max_by("top", "copies").alias("top"))
+    last = F.when(F.col("most") > F.col("least"), F.col("top"))
+    per = scratch.save(per.select("source", "least", "most", last.alias("last"), F.coalesce(last == F.col("low"), F.lit(False)).alias("split")), "per")
+    split = per.where("split").select(F.col("source").alias("of"), "most", "last")
+    tied = keyed.join(split, F.col("source").eqNullSafe(F.col("of")) & (F.col("key") == F.col("last")) & (F.col("copies") == F.col("most")))
+    room = tied.groupBy("of").agg(F.count("*").alias("room"))
+    return scratch.save(per.join(room, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "least", "last", "room"), "cuts")
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix, a row for every repeat; all columns stay.
+    """The documents of the mix, a row for every repeat, whole and unchanged.
 
-    The copy at a source's cut holds the words up to the cut, joined by single spaces, and
-    n_chars, where there is one, follows it. Documents that the budget does not reach, and
-    those without words, leave. Rows with one id share the largest share of these.
+    A source's words come as near to its target as whole copies allow: within half of the
+    document at the cut. Documents that the budget does not reach, and those without words,
+    leave. Rows with a null id or with equal ids each have their own place.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    plan = scratch.save(
-        schedule(docs, id_col, text_col, source_col).where("taken > 0").groupBy("doc_id").agg(F.max(F.struct("taken", "size")).alias("__mix")), "plan"
-    ).withColumnRenamed("doc_id", id_col)
-    if plan.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        plan = F.broadcast(plan)
-    words = F.array_join(F.slice(F.regexp_extract_all(col(text_col), F.lit(f"({WORD})")), F.lit(1), F.col("__words").cast("int")), " ")
-    out = (
-        docs.join(plan, id_col)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__mix.taken") / F.col("__mix.size")) - 1)))
-        .withColumn("__words", F.least(F.col("__mix.size"), F.col("__mix.taken") - F.col("__copy") * F.col("__mix.size")))
-        .withColumn(text_col, F.when(F.col("__words") < F.col("__mix.size"), words).otherwise(col(text_col)))
-    )
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__words") < F.col("__mix.size"), F.length(col(text_col)).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(col(c) for c in docs.columns))
+    per = cuts(schedule(docs, id_col, text_col, source_col), scratch).select(F.col("source").alias("__of"), F.col("least").alias("__least"), F.col("last").alias("__last"), F.col("room").alias("__room"))
+    ties = per.where("__room is not null").limit(1).count() > 0
+    if per.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4:
+        per = F.broadcast(per)
+    placed = docs.where(F.regexp_like(col(text_col), F.lit(WORD))).withColumn("__shuffle", shuffled(col(id_col))).join(per, col(source_col).cast("string").eqNullSafe(F.col("__of")))
+    at_last, size = F.col("__shuffle") == F.col("__last.shuffle"), word_count(col(text_col))
+    early = F.coalesce((F.col("__shuffle") < F.col("__last.shuffle")) | (at_last & (size <= F.col("__last.size"))), F.lit(False))
+    tied = F.coalesce(F.col("__room").isNotNull() & at_last & (size == F.col("__last.size")), F.lit(False))
+    out = (placed.where(~tied) if ties else placed).withColumn("__more", early)
+    if ties:
+        place = F.row_number().over(Window.partitionBy("__of").orderBy(F.sha2(col(text_col), 256)))
+        out = out.unionByName(placed.where(tied).withColumn("__more", place <= F.col("__room")))
+    copies = F.array_repeat(F.lit(0), (F.col("__least") + F.col("__more").cast("int")).cast("int"))
+    return out.withColumn("__copy", F.explode(copies)).select(*(col(c) for c in docs.columns))
