@@ -1,27 +1,54 @@
-"""Content-addressed storage of texts: fixed chunks, their digests and what sharing them saves."""
+"""Content-addressed storage of bytes: chunks, their digests and what sharing them saves."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Sizes below which content is one chunk, and below which it has chunks of FIXED bytes.
+SINGLE, SMALL, FIXED = 64 << 10, 1 << 20, 256 << 10
+
 
 def fixed_chunks(content: DataFrame, size: int) -> DataFrame:
-    """file_id, source, pos, hash and length of each chunk of `size` characters; an empty text has none."""
-    at = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-    parts = content.select("file_id", "source", "text", F.explode(at).alias("pos"))
-    piece = F.substring(F.col("text"), F.col("pos") * size + 1, F.lit(size))
-    return parts.select("file_id", "source", F.col("pos").cast("long").alias("pos"), F.sha2(piece.cast("binary"), 256).alias("hash"), F.length(piece).cast("long").alias("length"))
+    """file_id, source, pos, hash and length of each chunk of `size` bytes; an empty text has none. Bytes are cut by place, so a file costs its length."""
+    body = content.select("file_id", "source", F.col("text").cast("binary").alias("body"))
+    at = F.when(F.length("body") > 0, F.sequence(F.lit(0), F.floor((F.length("body") - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    parts = body.select("file_id", "source", "body", F.explode(at).alias("pos"))
+    piece = F.substring(F.col("body"), F.col("pos") * size + 1, F.lit(size))
+    return parts.select("file_id", "source", F.col("pos").cast("long").alias("pos"), F.sha2(piece, 256).alias("hash"), F.length(piece).cast("long").alias("length"))
 
 
 def dedup_savings(chunked: DataFrame) -> DataFrame:
-    """Per source: chunks, distinct chunks, characters, and characters after each distinct chunk is stored once."""
+    """Per source: chunks, distinct chunks, bytes, and bytes after each distinct chunk is stored once."""
     distinct = chunked.groupBy("source", "hash").agg(F.count("*").alias("n"), F.max("length").alias("length"))
-    return distinct.groupBy("source").agg(F.sum("n").alias("chunks"), F.count("*").alias("stored_chunks"), F.sum(F.col("n") * F.col("length")).alias("chars"), F.sum("length").alias("stored_chars"))
+    return distinct.groupBy("source").agg(F.sum("n").alias("chunks"), F.count("*").alias("stored_chunks"), F.sum(F.col("n") * F.col("length")).alias("bytes"), F.sum("length").alias("stored_bytes"))
 
 
 def part_etags(content: DataFrame, size: int) -> DataFrame:
-    """Multipart entity tags: the MD5 of the parts' raw MD5 digests, with the number of parts."""
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int")))
-    parts = F.transform(at, lambda i: F.md5(F.substring(F.col("text"), i * size + 1, F.lit(size)).cast("binary")))
-    return content.select("file_id", F.concat(F.md5(F.unhex(F.array_join(parts, ""))), F.lit("-"), F.size(parts).cast("string")).alias("etag"))
+    """Multipart entity tags: the MD5 of the raw MD5 digests of parts of `size` bytes, with the number of parts."""
+    body = content.select("file_id", F.col("text").cast("binary").alias("body"))
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("body") - 1) / size).cast("int")))
+    parts = F.transform(at, lambda i: F.md5(F.substring(F.col("body"), i * size + 1, F.lit(size))))
+    return body.select("file_id", F.concat(F.md5(F.unhex(F.array_join(parts, ""))), F.lit("-"), F.size(parts).cast("string")).alias("etag"))
+
+
+def chunking(content: DataFrame) -> DataFrame:
+    """file_id, bytes, strategy (none, single, fixed, content-defined) and chunks (null where the content defines them) by size."""
+    size = F.octet_length("text").cast("long")
+    kind = F.when(size == 0, "none").when(size < SINGLE, "single").when(size < SMALL, "fixed").otherwise("content-defined")
+    count = F.when(size < SINGLE, (size > 0).cast("long")).when(size < SMALL, F.ceil(size / FIXED).cast("long"))
+    return content.select("file_id", size.alias("bytes"), kind.alias("strategy"), count.alias("chunks"))
+
+
+def write_plan(chunked: DataFrame, stored: DataFrame) -> DataFrame:
+    """Per file: chunks that are stored already and get one reference more, chunks to store, and bytes to store; a hash that the files share is stored by the smallest (file, pos)."""
+    known = chunked.join(stored.select("hash").distinct().withColumn("known", F.lit(True)), "hash", "left")
+    firsts = known.where("known is null").groupBy("hash").agg(F.min(F.struct("file_id", "pos")).alias("first"))
+    placed = known.join(firsts, "hash", "left").withColumn("new", F.coalesce(F.struct("file_id", "pos") == F.col("first"), F.lit(False)))
+    return placed.groupBy("file_id").agg(F.count_if(~F.col("new")).alias("shared"), F.count_if("new").alias("stored"), F.sum(F.when(F.col("new"), F.col("length")).otherwise(0)).alias("stored_bytes"))
+
+
+def scrubbed(blobs: DataFrame) -> DataFrame:
+    """Blobs (hash, data, key_known) classed as ok, corrupt or key_unavailable."""
+    state = F.when(~F.col("key_known"), "key_unavailable").when(F.sha2("data", 256) == F.col("hash"), "ok").otherwise("corrupt")
+    return blobs.select("hash", state.alias("state"))

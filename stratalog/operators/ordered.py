@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Numbers of a scope that one window orders.
+RUN = 100_000
+
 
 def chunk_offsets(file_chunks: DataFrame, chunks: DataFrame) -> DataFrame:
     """Position and byte range [start, end) of each chunk in its file."""
@@ -50,11 +53,19 @@ def keyset_page(rows: DataFrame, key: str, after: str, size: int) -> DataFrame:
     return rows.where(F.col(key) > after).orderBy(key).limit(size)
 
 
-def sequence_gaps(rows: DataFrame) -> DataFrame:
-    """Per node: gaps of its numbers in order of time, after some were lost."""
-    numbered = rows.withColumn("seq", F.row_number().over(Window.partitionBy("node").orderBy("ts", "event_id")).cast("long")).where("event_id % 17 <> 0")
-    before = F.lag("seq").over(Window.partitionBy("node").orderBy("seq"))
-    return numbered.withColumn("before", before).where("seq - before > 1").select("node", (F.col("before") + 1).alias("first_lost"), (F.col("seq") - 1).alias("last_lost"))
+def sequence_gaps(rows: DataFrame, scope: str, seq: str = "seq") -> DataFrame:
+    """Per scope: runs of numbers that are missing between those that arrived.
+
+    A number's follower is found by runs of numbers: inside a run of RUN by a window, between
+    runs by the ends of the runs, so a scope of any length is dealt over many tasks.
+    """
+    run = F.expr(f"{seq} div {RUN}")
+    found = rows.select(scope, F.col(seq).alias("at"), run.alias("run")).distinct()
+    inside = found.withColumn("before", F.lag("at").over(Window.partitionBy(scope, "run").orderBy("at")))
+    ends = found.groupBy(scope, "run").agg(F.min("at").alias("at"), F.max("at").alias("last"))
+    between = ends.withColumn("before", F.lag("last").over(Window.partitionBy(scope).orderBy("run")))
+    gaps = inside.where("at - before > 1").select(scope, "before", "at").union(between.where("at - before > 1").select(scope, "before", "at"))
+    return gaps.select(scope, (F.col("before") + 1).alias("first_lost"), (F.col("at") - 1).alias("last_lost"))
 
 
 def retained(items: DataFrame, now: str, days: int = 7, weeks: int = 4, months: int = 12) -> DataFrame:

@@ -21,15 +21,16 @@ BUDGET = 10_000
 VIEWS = {
     "v_volumes": "SELECT n_nationkey::BIGINT AS volume_id, n_name AS name, (1 + n_regionkey % 3)::BIGINT AS factor, (1 + n_regionkey % 2)::BIGINT AS min_copies, n_nationkey = 0 AS system FROM nation",
     "v_drives": "SELECT s_suppkey AS drive_id, s_nationkey::BIGINT AS node, ['hot', 'warm', 'cold'][(s_suppkey % 3 + 1)::INT] AS tier, CASE WHEN s_suppkey % 10 = 0 THEN 0 ELSE 1000000 END::BIGINT AS capacity_bytes, CASE s_suppkey % 7 WHEN 0 THEN 'draining' WHEN 1 THEN 'standby' ELSE 'active' END AS state FROM supplier",
-    "v_chunks": "SELECT p_partkey AS chunk_id, sha256(p_partkey::VARCHAR) AS hash, p_partkey % 25 AS volume_id, (p_size * 100)::BIGINT AS stored_size, p_partkey % 11 <> 0 AS committed, p_partkey % 13 = 0 AS active_writes FROM part",
-    "v_locations": "SELECT DISTINCT l_partkey AS chunk_id, l_suppkey AS drive_id FROM lineitem WHERE l_quantity <= 3",
-    "v_file_chunks": "SELECT DISTINCT l_orderkey AS file_id, l_partkey AS chunk_id FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'A'",
-    "v_files": "SELECT o_orderkey AS file_id, o_orderkey % 25 AS volume_id, o_orderstatus = 'F' AS detached, o_orderdate AS created_at FROM orders",
-    "v_shards": "SELECT p_partkey // 6 AS stripe_id, p_partkey AS chunk_id FROM part",
+    "v_chunks": "SELECT o_orderkey AS chunk_id, sha256(o_orderkey::VARCHAR) AS hash, o_orderkey % 25 AS volume_id, floor(o_totalprice / 150)::BIGINT AS stored_size, o_orderkey % 11 <> 0 AS committed, o_orderkey % 13 = 0 AS active_writes FROM orders",
+    "v_locations": "SELECT DISTINCT l_orderkey AS chunk_id, l_suppkey AS drive_id FROM lineitem",
+    "v_file_chunks": "SELECT DISTINCT l_partkey AS file_id, l_orderkey AS chunk_id FROM lineitem",
+    "v_files": "SELECT p_partkey AS file_id, p_partkey % 25 AS volume_id, p_size % 2 = 0 AS detached, (DATE '1997-12-01' + p_size::INT)::TIMESTAMP AS created_at, '/' || p_brand || '/' || p_type || '/' || p_partkey AS path FROM part",
+    "v_backups": "SELECT o_orderkey AS file_id, o_orderkey % 25 AS volume_id, o_orderdate AS created_at FROM orders",
+    "v_shards": "SELECT o_orderkey // 6 AS stripe_id, o_orderkey % 6 AS idx, o_orderkey AS chunk_id FROM orders",
     "v_snapshot": "SELECT f.* FROM v_file_chunks f WHERE file_id IN (SELECT file_id FROM v_files WHERE created_at < TIMESTAMP '1998-01-01')",
     "v_keys": "SELECT regexp_replace(url, '^[a-z]+://', '') AS key FROM pages",
     "v_content": "SELECT doc_id AS file_id, source, coalesce(text, '') AS text FROM documents",
-    "v_claims": "SELECT row_number() OVER () AS claim_id, l_partkey % 500 AS path, (l_linenumber * 10)::BIGINT AS start, CASE WHEN l_partkey % 50 = 0 THEN 1099511627776 ELSE l_linenumber * 10 + l_quantity::BIGINT END AS stop, l_suppkey % 3 = 0 AS exclusive FROM lineitem WHERE l_orderkey % 20 = 0",
+    "v_claims": "SELECT row_number() OVER () AS claim_id, l_partkey % 500 AS path, (l_linenumber * 10)::BIGINT AS start, CASE WHEN l_partkey % 50 = 0 THEN 1099511627776 ELSE l_linenumber * 10 + l_quantity::BIGINT END AS stop, l_suppkey % 3 = 0 AS exclusive FROM lineitem",
     "v_offsets": "SELECT file_id, chunk_id, row_number() OVER w AS pos, (sum(stored_size) OVER w)::BIGINT AS stop, (sum(stored_size) OVER w)::BIGINT - stored_size AS start FROM v_file_chunks JOIN v_chunks USING (chunk_id) WINDOW w AS (PARTITION BY file_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING)",
     "v_usage": "SELECT d.*, coalesce(u.used, 0)::BIGINT AS used FROM v_drives d LEFT JOIN (SELECT drive_id, sum(stored_size) AS used FROM v_locations JOIN v_chunks USING (chunk_id) GROUP BY 1) u USING (drive_id)",
     "v_sweep": "SELECT c.*, CASE WHEN chunk_id IN (SELECT chunk_id FROM v_file_chunks JOIN v_files USING (file_id) WHERE NOT detached UNION SELECT chunk_id FROM v_snapshot) THEN 'kept' WHEN NOT committed OR active_writes THEN 'protected' ELSE 'garbage' END AS fate FROM v_chunks c",
@@ -85,9 +86,9 @@ def tier_usage(v: Views) -> DataFrame:
     return catalog.tier_usage(usage(v))
 
 
-@query("SELECT drive_id, used, capacity_bytes FROM v_usage WHERE capacity_bytes > 0 AND used >= capacity_bytes * 0.02")
+@query("SELECT drive_id, used, capacity_bytes FROM v_usage WHERE capacity_bytes > 0 AND used >= capacity_bytes * 0.85")
 def storage_pressure(v: Views) -> DataFrame:
-    return catalog.pressure(usage(v), 0.02)
+    return catalog.pressure(usage(v), 0.85)
 
 
 @query("SELECT drive_id, count(*) AS sole_copies FROM (SELECT min(drive_id) AS drive_id FROM v_locations GROUP BY chunk_id HAVING count(DISTINCT drive_id) = 1) GROUP BY 1")
@@ -169,14 +170,23 @@ def keyset_page(v: Views) -> DataFrame:
 @query("""SELECT node, before + 1 AS first_lost, seq - 1 AS last_lost FROM (SELECT node, seq, lag(seq) OVER (PARTITION BY node ORDER BY seq) AS before FROM (
     SELECT user_id % 3 AS node, event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS seq FROM events) WHERE event_id % 17 <> 0) WHERE seq - before > 1""")
 def sequence_gaps(v: Views) -> DataFrame:
-    return ordered.sequence_gaps(v.envelopes)
+    return ordered.sequence_gaps(v.received, "node")
 
 
-@query("""SELECT volume_id, file_id, 'day' AS stage FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY d DESC) AS n FROM (SELECT volume_id, created_at::DATE AS d, arg_max(file_id, (created_at, file_id)) AS file_id FROM v_files GROUP BY ALL)) WHERE n <= 7
-    UNION ALL SELECT volume_id, file_id, 'week' FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY w DESC) AS m FROM (SELECT volume_id, date_trunc('week', d) AS w, arg_max(file_id, d) AS file_id
-    FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY d DESC) AS n FROM (SELECT volume_id, created_at::DATE AS d, arg_max(file_id, (created_at, file_id)) AS file_id FROM v_files GROUP BY ALL)) WHERE n > 7 GROUP BY ALL)) WHERE m <= 4""")
+def retention_sql() -> str:
+    """The newest of each day, then week, then month, within 7, 28 and 372 whole days, each stage over what the stages before it left."""
+    parts, kept = [], "SELECT NULL::BIGINT AS volume_id, NULL::BIGINT AS file_id WHERE false"
+    for stage, most, age in (("day", 7, 7), ("week", 4, 28), ("month", 12, 372)):
+        left = f"SELECT b.* FROM v_backups b ANTI JOIN ({kept}) k USING (volume_id, file_id) WHERE created_at > TIMESTAMP '{NOW_ORDERS}' - INTERVAL {age} DAYS"
+        newest = f"SELECT volume_id, date_trunc('{stage}', created_at) AS unit, arg_max(file_id, (created_at, file_id)) AS file_id FROM ({left}) GROUP BY ALL"
+        parts.append(f"{stage}s AS (SELECT volume_id, file_id, '{stage}' AS stage FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY unit DESC) AS n FROM ({newest})) WHERE n <= {most})")
+        kept = " UNION ALL ".join(f"SELECT volume_id, file_id FROM {s}s" for s in ("day", "week", "month")[: len(parts)])
+    return f"SELECT * FROM (WITH {', '.join(parts)} SELECT * FROM days UNION ALL SELECT * FROM weeks UNION ALL SELECT * FROM months)"
+
+
+@query(retention_sql())
 def retained_backups(v: Views) -> DataFrame:
-    return ordered.retained(v.files, NOW_ORDERS)
+    return ordered.retained(v.backups, NOW_ORDERS)
 
 
 @query("SELECT node, max((ts, event_id)).ts AS ts, max((ts, event_id)).event_id AS event_id FROM (SELECT user_id % 3 AS node, ts, event_id FROM events) GROUP BY 1".replace("max((ts, event_id))", "max({'ts': ts, 'event_id': event_id})"))
@@ -229,12 +239,15 @@ def job_backlog(v: Views) -> DataFrame:
     return v.jobs.where("status in ('O', 'P')").groupBy("status", "priority").agg(F.count("*").alias("jobs"), F.count_if(F.expr(f"expires_at < timestamp_ntz'{NOW_ORDERS}'")).alias("expired"))
 
 
-@query(f"""SELECT source, sum(n)::BIGINT AS chunks, count(*) AS stored_chunks, sum(n * length)::BIGINT AS chars, sum(length)::BIGINT AS stored_chars FROM (SELECT source, sha256(piece) AS hash, count(*) AS n, max(length(piece)) AS length
-    FROM (SELECT source, substring(text, (pos * {CHUNK} + 1)::INT, {CHUNK}) AS piece FROM v_content, unnest(range(0, (length(text) + {CHUNK - 1}) // {CHUNK})) AS u(pos)) GROUP BY ALL) GROUP BY 1""")
+@query(f"""SELECT source, sum(n)::BIGINT AS chunks, count(*) AS stored_chunks, sum(n * length)::BIGINT AS bytes, sum(length)::BIGINT AS stored_bytes FROM (SELECT source, sha256(piece) AS hash, count(*) AS n, max(octet_length(piece)) AS length
+    FROM (SELECT source, encode(text)[pos * {CHUNK} + 1 : pos * {CHUNK} + {CHUNK}] AS piece FROM v_content, unnest(range(0, (octet_length(encode(text)) + {CHUNK - 1}) // {CHUNK})) AS u(pos)) GROUP BY ALL) GROUP BY 1""")
 def chunk_dedup(v: Views) -> DataFrame:
     return content.dedup_savings(content.fixed_chunks(v.content, CHUNK))
 
 
-@query(f"""SELECT file_id, md5(unhex(string_agg(md5(substring(text, (pos * {PART} + 1)::INT, {PART})), '' ORDER BY pos))) || '-' || count(*) AS etag FROM v_content, unnest(range(0, greatest(1, (length(text) + {PART - 1}) // {PART}))) AS u(pos) GROUP BY 1""")
+@query(f"""SELECT file_id, md5(unhex(string_agg(md5(encode(text)[pos * {PART} + 1 : pos * {PART} + {PART}]), '' ORDER BY pos))) || '-' || count(*) AS etag FROM v_content, unnest(range(0, greatest(1, (octet_length(encode(text)) + {PART - 1}) // {PART}))) AS u(pos) GROUP BY 1""")
 def multipart_etags(v: Views) -> DataFrame:
     return content.part_etags(v.content, PART)
+
+
+from . import more  # noqa: E402, F401  adds its queries to QUERIES and SQL

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Volumes that the part, order and chunk keys are dealt to.
 VOLUMES = 25
@@ -34,25 +35,33 @@ class Views:
 
     @property
     def chunks(self) -> DataFrame:
-        key = F.col("p_partkey")
-        return self.table("part").select(key.alias("chunk_id"), F.sha2(key.cast("string"), 256).alias("hash"), (key % VOLUMES).alias("volume_id"), (F.col("p_size") * 100).cast("long").alias("stored_size"), (key % 11 != 0).alias("committed"), (key % 13 == 0).alias("active_writes"))
+        key = F.col("o_orderkey")
+        return self.table("orders").select(key.alias("chunk_id"), F.sha2(key.cast("string"), 256).alias("hash"), (key % VOLUMES).alias("volume_id"), F.floor(F.col("o_totalprice") / 150).cast("long").alias("stored_size"), (key % 11 != 0).alias("committed"), (key % 13 == 0).alias("active_writes"))
 
     @property
     def locations(self) -> DataFrame:
-        return self.table("lineitem").where("l_quantity <= 3").select(F.col("l_partkey").alias("chunk_id"), F.col("l_suppkey").alias("drive_id")).distinct()
+        return self.table("lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("drive_id")).distinct()
 
     @property
     def file_chunks(self) -> DataFrame:
-        return self.table("lineitem").where("l_quantity >= 45 and l_returnflag = 'A'").select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("chunk_id")).distinct()
+        return self.table("lineitem").select(F.col("l_partkey").alias("file_id"), F.col("l_orderkey").alias("chunk_id")).distinct()
 
     @property
     def files(self) -> DataFrame:
-        return self.table("orders").select(F.col("o_orderkey").alias("file_id"), (F.col("o_orderkey") % VOLUMES).alias("volume_id"), (F.col("o_orderstatus") == "F").alias("detached"), F.col("o_orderdate").alias("created_at"))
+        key = F.col("p_partkey")
+        return self.table("part").select(
+            key.alias("file_id"), (key % VOLUMES).alias("volume_id"), (F.col("p_size") % 2 == 0).alias("detached"), F.date_add(F.lit("1997-12-01").cast("date"), F.col("p_size")).cast("timestamp_ntz").alias("created_at"),
+            F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_type", F.lit("/"), key.cast("string")).alias("path"),
+        )
+
+    @property
+    def backups(self) -> DataFrame:
+        return self.table("orders").select(F.col("o_orderkey").alias("file_id"), (F.col("o_orderkey") % VOLUMES).alias("volume_id"), F.col("o_orderdate").alias("created_at"))
 
     @property
     def shards(self) -> DataFrame:
-        key = F.col("p_partkey")
-        return self.table("part").select(F.expr("p_partkey div 6").alias("stripe_id"), (key % 6).alias("idx"), key.alias("chunk_id"))
+        key = F.col("o_orderkey")
+        return self.table("orders").select(F.expr("o_orderkey div 6").alias("stripe_id"), (key % 6).alias("idx"), key.alias("chunk_id"))
 
     @property
     def snapshot(self) -> DataFrame:
@@ -79,6 +88,12 @@ class Views:
     def envelopes(self) -> DataFrame:
         return self.table("events").select((F.col("user_id") % 3).alias("node"), "event_id", "ts")
 
+    @property
+    def received(self) -> DataFrame:
+        """What arrived of each node's numbered events: one event in seventeen is lost."""
+        seq = F.row_number().over(Window.partitionBy("node").orderBy("ts", "event_id")).cast("long")
+        return self.envelopes.withColumn("seq", seq).where("event_id % 17 <> 0").select("node", "seq")
+
     @property
     def claims(self) -> DataFrame:
         start = (F.col("l_linenumber") * 10).cast("long")
@@ -89,3 +104,46 @@ class Views:
     @property
     def jobs(self) -> DataFrame:
         return self.table("orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderdate") + F.expr("interval 30 days")).alias("expires_at"))
+
+    @property
+    def objects(self) -> DataFrame:
+        """Files with owner, mode and a list of access entries (permissions as bits 4, 2, 1)."""
+        key, size = F.col("p_partkey"), F.col("p_size").cast("long")
+        kind = "array<struct<kind: string, id: bigint, bits: bigint>>"
+        entry = lambda cond, name, id_, bits: F.when(cond, F.array(F.struct(F.lit(name).alias("kind"), id_.alias("id"), bits.alias("bits")))).otherwise(F.array().cast(kind))
+        return self.table("part").select(
+            key.alias("object_id"), (key % 7).alias("uid"), (key % 5).alias("gid"), (key * 37 % 512).alias("mode"), (key % VOLUMES).alias("volume_id"),
+            F.concat(entry(key % 3 == 0, "user", size % 8, size % 8), entry(key % 4 == 0, "group", size % 6, F.expr("p_partkey div 8") % 8), entry(key % 5 == 0, "mask", F.lit(None).cast("long"), F.expr("p_partkey div 64") % 8)).alias("entries"),
+        )
+
+    @property
+    def requests(self) -> DataFrame:
+        return self.table("lineitem").select(F.col("l_partkey").alias("object_id"), (F.col("l_suppkey") % 8).alias("uid"), (F.col("l_linenumber") % 6).cast("long").alias("gid"), F.element_at(F.array(F.lit(4), F.lit(2), F.lit(1)), (F.col("l_orderkey") % 3 + 1).cast("int")).cast("long").alias("want"))
+
+    @property
+    def locks(self) -> DataFrame:
+        """Locks on directories and files of the tree that documents make up, by event."""
+        key = F.col("event_id")
+        path = F.concat(F.lit("/src"), (key % 20).cast("string"), F.when(key % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("/d"), (key % 7).cast("string"))), F.when(key % 4 != 1, F.lit("")).otherwise(F.concat(F.lit("/f"), (key % 50).cast("string"))))
+        return self.table("events").select(key.alias("lock_id"), path.alias("path"), (key % 2 == 0).alias("deep"), (F.col("user_id") % 4 == 0).alias("exclusive"), F.col("user_id").alias("holder"), (F.col("ts") + F.expr("interval 10 days")).alias("expires_at"))
+
+    @property
+    def targets(self) -> DataFrame:
+        key = F.col("doc_id")
+        return self.table("documents").select(key.alias("target_id"), F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/d"), (key % 7).cast("string"), F.lit("/f"), (key % 50).cast("string")).alias("path"))
+
+    @property
+    def ranges(self) -> DataFrame:
+        """Byte-range locks of clients on files: two files an order, so that groups stay small."""
+        start = (F.col("l_linenumber") * 10).cast("long")
+        return self.table("lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_suppkey").alias("client"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), (F.col("l_partkey") % 3 == 0).alias("exclusive"))
+
+    @property
+    def stats(self) -> DataFrame:
+        """Access counts of chunks: all-time hourly counts summed, last access."""
+        return self.table("events").groupBy(F.col("user_id").alias("chunk_id")).agg(F.count("*").alias("daily"), F.max("ts").alias("last"))
+
+    @property
+    def escalations(self) -> DataFrame:
+        key = F.col("event_id")
+        return self.table("events").select(key.alias("id"), F.col("event_type").alias("category"), F.when(key % 3 == 0, "pending").when(key % 3 == 1, "resolved").otherwise("expired").alias("status"), F.when(key % 4 == 0, "critical").otherwise("warning").alias("severity"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("interval 3 days")).alias("expires_at"))
