@@ -1 +1 @@
-
+"""Counters over event streams."""
