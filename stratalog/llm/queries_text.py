@@ -55,7 +55,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.schedule(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.round("virtual_finish", 4).alias("virtual_finish")).orderBy("virtual_finish", "doc_id")
+    return planned.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.round("virtual_finish", 4).alias("virtual_finish"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
