@@ -1,11 +1,11 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
 Base patterns give spans that always stay. Wider patterns (national phone numbers, spelled
-out addresses, social security numbers) give candidates. Labelers of three kinds vote on
-every span, base matches that failed their test included: the structure of the match, a
-gazetteer, and the words around it. Expectation-maximisation over the counts of vote
-patterns estimates each labeler's reliability; its posteriors train a logistic span
-classifier, which decides on the candidates.
+out addresses, social security numbers, keys and passwords) give candidates. Labelers vote
+on every span, base matches that failed their test included: the structure of the match, a
+gazetteer, the words around it, and its borders. Expectation-maximisation over the counts
+of vote patterns estimates each labeler's reliability; its posteriors train a logistic span
+classifier, which alone decides on the candidates.
 
 The candidates of a document stay in one array beside its id, so nothing is shuffled but
 the counts of vote patterns.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, col
 
 #: Kinds in the order of the output.
-KINDS = ("email", "ip", "card", "phone", "ssn")
+KINDS = ("email", "ip", "card", "phone", "ssn", "secret")
 #: Each finds the leftmost non-overlapping matches of the plain pattern named beside it, without
 #: retrying inside a run that failed and without recursion, so long runs cost linear time.
 PATTERNS = {
@@ -39,18 +39,27 @@ WIDER = (
     ("phone", r"(?<![0-9+(.\x20-])(?:(?<![0-9])|\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,63}+){1,8}+"),
     ("ssn", r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9.-])"),
+    # a run of 16 characters or more with a digit and a letter among them
+    ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+"),
 )
 #: Fixed values of the gazetteer labeler.
 TOP_DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ca|it|nl|ch|at|be|br|mx|jp|cn|in|au"
 CALLING = r"^\+(?:1|7|2[07]|3[0-46-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
-#: Fixed values of the context labeler: words before a span that speak for it, and against it.
+#: How keys of well-known services begin, and forms of long names that are no keys.
+KEY_STARTS = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|glpat-|xox[abp]-|sk_live_|sk-|eyJ)"
+NO_KEY = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[a-z]+(?:[-_/][a-z0-9]{1,6})+$|^[0-9-]+[a-z]+$"
+#: Fixed values of the context labeler: words before a span that speak for it, and against it; for secrets, the name that a value is assigned to.
 SPEAKS_FOR = r"(?i)\b(?:e-?mail|mail|contact|kontakt|courriel|correo|phone|tel|telefon|t[ée]l[ée]phone|tel[ée]fono|call|mobile|cell|fax|card|karte|carte|tarjeta|visa|mastercard|ip|host|address|ssn|social security)\b"
 SPEAKS_AGAINST = r"(?i)\b(?:version|release|build|isbn|issn|doi|order|invoice|serial|model|sku|section|chapter|license|token|hash|commit|rfc)\b"
+SECRET_FOR = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credentials?)[\"']?\s*[=:]?\s*[\"']?$"
+SECRET_AGAINST = r"(?i)(?:commit|sha(?:1|256)?|md5|checksum|digest|etag|uuid|revision|isbn|doi|version|path|file|href|url)[\"']?\s*[=:]?\s*[\"']?$"
 #: Characters before a span that the context labeler reads.
 CONTEXT = 40
 LABELERS = ("structure", "gazetteer", "context", "border")
-#: A candidate is added at this probability or more, if its structure holds and its context speaks for it.
-ADD_AT = 0.9
+#: A candidate is added if the classifier gives it this probability or more.
+ADD_AT = 0.8
+#: Running sums over the matches of a text go over blocks of so many, then inside each.
+BLOCK = 64
 EM_ROUNDS = 10
 
 
@@ -76,6 +85,8 @@ def sound(kind: str, m: Column) -> Column:
         return F.length(digits(m)).between(8, 15)
     if kind == "ssn":
         return ~m.rlike("^(?:000|666|9)|-00-|-0000$")
+    if kind == "secret":
+        return (F.length(digits(m)) >= 3) & (F.size(F.array_distinct(F.split(m, ""))) >= 9)
     return F.lit(True)
 
 
@@ -89,6 +100,8 @@ def listed(kind: str, m: Column) -> Column:
         return m.rlike("^[3-6]").cast("int")
     if kind == "phone":
         return F.when(m.startswith("+"), m.rlike(CALLING).cast("int")).otherwise(-1)
+    if kind == "secret":
+        return F.when(m.rlike(KEY_STARTS), 1).when(m.rlike(NO_KEY), 0).otherwise(-1)
     return F.lit(-1)
 
 
@@ -98,21 +111,30 @@ def found(text: Column, kind: str, pattern: str, base: bool) -> Column:
     Pieces between matches and the matches in turn make up the text, so their lengths give
     the starts.
     """
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("pieces"))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def starts(z: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(z["pieces"], i))
-            return F.struct((start + F.length(F.get(z["matches"], i))).alias("at"), F.array_append(acc["starts"], start).alias("starts"))
+    def starts(matches: Column, pieces: Column) -> Column:
+        """The sums of the lengths before each match."""
+        sizes = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.length(m) + F.length(p))
+        total = lambda a: F.aggregate(a, F.lit(0), lambda acc, n: acc + n)
+
+        def of(x: Column) -> Column:
+            # an array of one binds the sizes, which are then found once
+            none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+            step = lambda acc, b: F.struct((acc["at"] + total(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
+            blocks = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), none, step)["starts"]
+            inside = lambda b, i: b + total(F.slice(x, i - i % BLOCK + 1, i % BLOCK))
+            each = F.transform(F.array(blocks), lambda bs: F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: inside(F.get(bs, F.floor(i / BLOCK).cast("int")), i)))
+            return F.when(F.size(x) > 0, F.get(each, F.lit(0))).otherwise(none["starts"])
+
+        before = F.get(F.transform(F.array(sizes), of), F.lit(0))
+        return F.zip_with(before, F.slice(pieces, 1, F.size(matches)), lambda at, p: at + F.length(p))
 
-        some = F.aggregate(F.sequence(F.lit(0), F.size(z["matches"]) - 1), none, step)["starts"]
-        return F.when(F.size(z["matches"]) > 0, some).otherwise(none["starts"])
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("pieces"))
 
     def span(m: Column, start: Column) -> Column:
         before = F.substring(text, F.greatest(F.lit(1), start - CONTEXT + 1), F.least(start, F.lit(CONTEXT)))
         after = F.substring(text, start + F.length(m) + 1, F.lit(1))
-        context = F.when(before.rlike(SPEAKS_AGAINST), 0).when(before.rlike(SPEAKS_FOR), 1).otherwise(-1)
+        against, speaks_for = (SECRET_AGAINST, SECRET_FOR) if kind == "secret" else (SPEAKS_AGAINST, SPEAKS_FOR)
+        context = F.when(before.rlike(against), 0).when(before.rlike(speaks_for), 1).otherwise(-1)
         border = F.when(before.rlike(r"[\p{L}0-9_]$") | after.rlike(r"^[\p{L}0-9_]"), 0).otherwise(1)
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), start.cast("long").alias("start"), (start + F.length(m)).cast("long").alias("end"), F.lit(base).alias("base"),
@@ -120,7 +142,7 @@ def found(text: Column, kind: str, pattern: str, base: bool) -> Column:
         )
 
     # an array of one binds the matches and pieces, which are then found once
-    pairs = F.transform(F.array(both), lambda z: F.zip_with(z["matches"], starts(z), lambda m, start: F.struct(m.alias("m"), start.alias("start"))))
+    pairs = F.transform(F.array(both), lambda z: F.zip_with(z["matches"], starts(z["matches"], z["pieces"]), lambda m, start: F.struct(m.alias("m"), start.alias("start"))))
     return F.transform(F.get(pairs, F.lit(0)), lambda x: span(x["m"], x["start"]))
 
 
@@ -132,7 +154,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     needs = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]"), "phone": text.contains("+")}
     none = F.array().cast("array<struct<kind: int, start: bigint, end: bigint, base: boolean, structure: int, gazetteer: int, context: int, border: int>>")
     parts = [F.when(needs[k], found(text, k, p, True)).otherwise(none) for k, p in PATTERNS.items()]
-    parts += [F.when(text.rlike(r"[0-9]{4}") if k != "email" else text.rlike(r"[\[(]at[\])]"), found(text, k, p, False)).otherwise(none) for k, p in WIDER]
+    first = {"email": r"[\[(]at[\])]", "secret": WIDER[-1][1]}
+    parts += [F.when(text.rlike(first.get(k, r"[0-9]{4}")), found(text, k, p, False)).otherwise(none) for k, p in WIDER]
     return rows.select("doc_id", F.concat(*parts).alias("spans"))
 
 
@@ -193,7 +216,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     else:
         intercept, weights = -99.0, []
     ids = F.lit(0.0)
-    add = lambda s: ~s["base"] & (s["structure"] == 1) & (s["context"] == 1) & (1 / (1 + F.exp(-(sum((x * w for x, w in zip(features(lambda n: s[n]), weights, strict=False)), ids) + intercept))) >= ADD_AT)
+    add = lambda s: ~s["base"] & (1 / (1 + F.exp(-(sum((x * w for x, w in zip(features(lambda n: s[n]), weights, strict=False)), ids) + intercept))) >= ADD_AT)
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     plain = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return (
@@ -210,10 +233,10 @@ def shown(spans: Column) -> Column:
 
 
 def report(found_: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256, spans."""
+    """doc_id, counts of base spans by kind, base_sha256, spans, n_spans (all of them)."""
     of = lambda k: F.filter("base", lambda s: s["kind"] == k)
     counts = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    return found_.select("doc_id", *counts, F.sha2(shown(F.col("base")).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return found_.select("doc_id", *counts, F.sha2(shown(F.col("base")).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[PII]") -> DataFrame:
