@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import col
+from .scratch import col, in_arrow
 from .textkit import slices, text_of
 
 #: Encoded words that a task keeps; beyond it the memory is emptied, and words are merged again.
@@ -188,4 +188,4 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     rows.append((*row, numbers.astype(np.int32), text) if keep_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")), run, schema)

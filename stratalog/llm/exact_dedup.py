@@ -1,23 +1,26 @@
 """Exact deduplication as a stream over keyed state that never expires.
 
-1. Every row's normalised text is digested once; (order_id, uid, digest, locator) lands
-   in a table of the shared folder. No text is kept there.
-2. A stream reads the landed files in micro-batches. Its state, kept by RocksDB on the
-   executors' disks and in the checkpoint, holds per digest the first row seen by id (its
-   stable identifier and content locator) and the number of rows. Spark sums each batch's
-   rows of a digest before the shuffle, so a digest of a third of all rows stays cheap.
+1. Every row lands in a table of the shared folder with the digest of its normalised text.
+   Its place there (file and row number) is its content locator.
+2. A stream reads the digests of the landed files in micro-batches. Its state, kept by
+   RocksDB on the executors' disks and in the checkpoint, holds per digest the first row
+   seen by id (its stable identifier and content locator) and the number of rows. Spark sums
+   each batch's rows of a digest before the shuffle, so a digest of a third of all rows
+   stays cheap. A later run on the same state folder goes on where this one ended.
 3. A hit is a row whose digest has another keeper. Its whole text is compared with the
-   keeper's; rows that differ (a digest collision) are grouped by their whole text.
+   text at the keeper's locator; rows that differ (a digest collision) are grouped by
+   their whole text.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_IDS, Scratch, col, rows_in
+from .scratch import BROADCAST_IDS, Scratch, col
 
 WHITE = r"[\x20\x09-\x0D]+"
 LAST = (1 << 63) - 1
@@ -33,118 +36,118 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def keyed_state(spark: SparkSession, scratch: Scratch, landed: DataFrame, files_per_batch: int) -> DataFrame:
-    """digest, first (order_id, uid, locator), group_size: the stream's state after the last landed file."""
+def located(landed: DataFrame, *columns: str | Column) -> DataFrame:
+    """Columns of landed rows, and their locator: the file's name, which is unique, and the row's number in it."""
+    return landed.select(*columns, F.concat_ws(":", "_metadata.file_name", "_metadata.row_index").alias("locator"))
+
+
+def keyed_state(spark: SparkSession, folder: str, schema, files_per_batch: int) -> DataFrame:
+    """digest, first (order_id, locator), group_size: the stream's state after the last landed file under `folder`."""
     settings = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # no store stays in an executor's memory after its task
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space laid out ahead
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
-    before = {k: spark.conf.get(k, None) for k in settings}
+    given = spark.conf.getAll
+    before = {k: given.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        state = (
-            spark.readStream.schema(landed.schema)
-            .option("maxFilesPerTrigger", files_per_batch)
-            .parquet(scratch.path("landed"))
-            .groupBy("digest")
-            .agg(F.min(F.struct("order_id", "uid", "locator")).alias("first"), F.count("*").alias("group_size"))
-        )
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/landed/*")
+        state = located(rows, "digest", "order_id").groupBy("digest").agg(F.min(F.struct("order_id", "locator")).alias("first"), F.count("*").alias("group_size"))
 
         def keep_batch(changed: DataFrame, batch: int) -> None:
-            changed.write.mode("overwrite").parquet(scratch.path(f"state/batch={batch}"))
-
-        (
-            state.writeStream.outputMode("update")
-            .option("checkpointLocation", scratch.path("stream"))
-            .trigger(availableNow=True)
-            .foreachBatch(keep_batch)
-            .start()
-            .awaitTermination()
-        )
+            changed.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
+
+        state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).foreachBatch(keep_batch).start().awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    changes = spark.read.schema("digest binary, first struct<order_id: bigint, uid: bigint, locator: string>, group_size bigint").parquet(scratch.path("state"))
+    changes = spark.read.schema("digest binary, first struct<order_id: bigint, locator: string>, group_size bigint").parquet(f"{folder}/state")
     return changes.groupBy("digest").agg(F.min("first").alias("first"), F.max("group_size").alias("group_size"))
 
 
+def collided(everything: DataFrame, repeated: DataFrame, scratch: Scratch, run: str) -> DataFrame:
+    """A digest for each hit of this run whose full bytes differ from those at the keeper's locator. No aggregate follows the join: it would keep Spark from splitting a large key."""
+    keepers = repeated.select(F.col("first.locator").alias("locator"))
+    if keepers.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4:
+        repeated, keepers = F.broadcast(repeated), F.broadcast(keepers)
+    kept = located(everything, "digest", normalised(F.col("text")).alias("keeper")).join(keepers, "locator", "left_semi").drop("locator")
+    kept = scratch.save(kept, "keepers")  # so that the join reads two plain shuffles, of which Spark can split a large key
+    hits = located(everything.where(F.col("run") == run), "digest", normalised(F.col("text")).alias("norm")).join(repeated.select("digest", "first"), "digest").where("locator <> first.locator")
+    return scratch.save(hits.select("digest", "norm"), "hits").join(kept, "digest").where("norm <> keeper").select("digest")
+
+
+def regrouped(everything: DataFrame, decided: DataFrame, wrong: DataFrame) -> DataFrame:
+    """The decisions, grouped by the whole text itself for the digests that collided."""
+    rows = located(everything, "digest", "order_id", normalised(F.col("text")).alias("norm")).join(wrong, "digest", "left_semi")
+    groups = rows.groupBy("norm").agg(F.min(F.struct("order_id", "locator")).alias("first"), F.count("*").alias("group_size"))
+    right = rows.join(groups, "norm").select("locator", F.col("first").alias("new"), F.col("group_size").alias("size"))
+    return decided.join(right, "locator", "left").select("doc_id", "locator", "digest", "text_sha256", F.coalesce("new", "first").alias("first"), F.coalesce("size", "group_size").alias("group_size"))
+
+
+def landed_decisions(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column], files_per_batch: int, state: str | None) -> tuple[DataFrame, DataFrame, Scratch]:
+    """(the decisions of `docs` by locator, the landed rows of `docs` with each whole row as `doc`, the scratch tables)."""
+    spark = docs.sparkSession
+    scratch, run = Scratch(spark, "exact-dedup"), uuid.uuid4().hex
+    folder = state.rstrip("/") if state else scratch.root
+    rows = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("doc"), col(id_col).cast("long").alias("doc_id"), normalised(col(text_col)).alias("norm"), F.lit(run).alias("run"))
+    # the text is stored once, inside the whole row
+    text = F.col("doc").getField(text_col).cast("string")
+    rows = rows.select("doc", "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("order_id"), digest(F.col("norm")).alias("digest"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "run")
+    rows.write.parquet(f"{folder}/landed/{run}")
+    mine = spark.read.schema(rows.schema).parquet(f"{folder}/landed/{run}")
+    everything = spark.read.schema(rows.schema).parquet(f"{folder}/landed/*")
+    if mine.limit(1).count():
+        found = keyed_state(spark, folder, rows.schema, files_per_batch)
+    else:
+        found = located(mine, "digest", "order_id").groupBy("digest").agg(F.min(F.struct("order_id", "locator")).alias("first"), F.count("*").alias("group_size"))
+    repeated = scratch.save(found.where("group_size > 1"), "repeated")
+    own = F.struct("order_id", "locator")
+    decided = located(mine, "doc_id", "order_id", "digest", "text_sha256").join(repeated, "digest", "left")
+    decided = decided.select("doc_id", "locator", "digest", "text_sha256", F.coalesce("first", own).alias("first"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    texts = everything.withColumn("text", text)
+    wrong = scratch.save(collided(texts, repeated, scratch, run), "collided")
+    scratch.drop("hits", "keepers", "stream")
+    if wrong.limit(1).count():
+        decided = regrouped(texts, decided, wrong.distinct())
+    return decided, mine, scratch
+
+
 def decisions(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH, state: str | None = None
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, locator (of the row that stays).
 
     Texts are equal when identical after each run of white space becomes one space; null
     counts as empty. Of equal texts the row with the smallest id stays, a null id counting
     as the largest; of repeated rows with one id, one stays. An empty table gives no rows.
-    Other columns are ignored, whatever their names.
+    Other columns are ignored, whatever their names. With `state`, a shared folder, the
+    rows also meet those of earlier calls on that folder, and are kept for later ones.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dedup")
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), normalised(col(text_col)).alias("norm"))
-    landed = scratch.save(
-        rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("order_id"), F.monotonically_increasing_id().alias("uid"), digest(F.col("norm")).alias("digest"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.input_file_name().alias("locator")),
-        "landed",
-    )
-    state = scratch.save(
-        keyed_state(spark, scratch, landed, files_per_batch) if landed.limit(1).count() else landed.groupBy("digest").agg(F.min(F.struct("order_id", "uid", "locator")).alias("first"), F.count("*").alias("group_size")),
-        "groups",
-    )
-    repeated = state.where("group_size > 1")
-    decided = landed.join(repeated, "digest", "left").select(
-        "doc_id", "uid", "digest", "text_sha256", F.coalesce("first.order_id", "order_id").alias("keep_order"), F.coalesce("first.uid", "uid").alias("keep_uid"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce("first.locator", "locator").alias("locator")
-    )
-    wrong = scratch.save(collided(scratch, rows, repeated, digest), "collided")
-    scratch.drop("stream", "hits", "keepers")
-    if wrong.limit(1).count():
-        decided = regrouped(landed, wrong.distinct())
+    decided, _, _ = landed_decisions(docs.select(col(id_col), col(text_col)), id_col, text_col, digest, files_per_batch, state)
     return decided.select(
         "doc_id",
-        F.when(F.col("keep_order") < LAST, F.col("keep_order")).alias("keep_id"),
+        F.when(F.col("first.order_id") < LAST, F.col("first.order_id")).alias("keep_id"),
         "group_size",
-        (F.col("uid") == F.col("keep_uid")).alias("kept"),
+        (F.col("locator") == F.col("first.locator")).alias("kept"),
         "text_sha256",
-        "locator",
+        F.col("first.locator").alias("locator"),
     )
 
 
-def collided(scratch: Scratch, rows: DataFrame, repeated: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """A digest for each hit whose full bytes differ from the keeper's. No aggregate follows the join: it would keep Spark from splitting a large key."""
-    groups = repeated.select("digest", F.col("first.order_id").alias("keep_order"))
-    if groups.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4:
-        groups = F.broadcast(groups)
-    own = F.coalesce("doc_id", F.lit(LAST)) == F.col("keep_order")
-    hits = scratch.save(rows.withColumn("digest", digest(F.col("norm"))).join(groups, "digest").select("digest", "norm", own.alias("own")), "hits")
-    # written, so that the join reads two plain shuffles, of which Spark can split a large key
-    keepers = scratch.save(hits.where("own").groupBy("digest").agg(F.min("norm").alias("keeper")), "keepers")
-    return hits.where("not own").join(keepers, "digest").where("norm <> keeper").select("digest")
-
-
-def regrouped(landed: DataFrame, wrong: DataFrame) -> DataFrame:
-    """The decisions with a second, longer key from the full bytes for the digests that collided."""
-    exact = landed.join(wrong.withColumn("wrong", F.lit(True)), "digest", "left").withColumn("key", F.when(F.col("wrong"), F.col("text_sha256")))
-    groups = exact.groupBy("digest", F.coalesce("key", F.lit("")).alias("key")).agg(F.min(F.struct("order_id", "uid", "locator")).alias("first"), F.count("*").alias("group_size"))
-    return exact.withColumn("key", F.coalesce("key", F.lit(""))).join(groups, ["digest", "key"]).select(
-        "doc_id", "uid", "digest", "text_sha256", F.col("first.order_id").alias("keep_order"), F.col("first.uid").alias("keep_uid"), "group_size", F.col("first.locator").alias("locator")
-    )
-
-
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose text an earlier id holds; all columns stay."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-drop")
-    decided = scratch.save(decisions(docs, id_col, text_col), "decided")
-    ids = decided.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("stay"))
-    several = ids.where("n > 1 or doc_id is null")
-    kept = rows_in(docs, ids.where("stay = 0 or n > 1").select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
-    if not several.limit(1).count():
-        return kept
-    # an id of several rows, or none: one row of each text that stays under it
-    rows = rows_in(docs, several.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").union(docs.where(col(id_col).isNull()))
-    stays = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text")).distinct()
-    rows = rows.withColumn("__text", F.sha2(normalised(col(text_col)).cast("binary"), 256)).dropDuplicates([id_col, "__text"])
-    rows = rows.alias("r").join(stays.alias("s"), (F.col("r.__text") == F.col("s.__text")) & F.col(f"r.{id_col}").eqNullSafe(F.col("s.__id")), "left_semi").drop("__text")
-    return kept.where(col(id_col).isNotNull()).union(rows)
+    """`docs` with one row, that of the smallest id, of each text; all columns stay, whatever their names.
+
+    Null and empty texts are one text, of which one row stays; a null id counts as the
+    largest. An empty table stays empty.
+    """
+    decided, mine, scratch = landed_decisions(docs, id_col, text_col, sha256, FILES_PER_BATCH, None)
+    gone = scratch.save(decided.where("locator <> first.locator").select("locator"), "gone")
+    if gone.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4:
+        gone = F.broadcast(gone)
+    kept = located(mine, "doc").join(gone, "locator", "left_anti")
+    return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

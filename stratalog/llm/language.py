@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import col
+from .scratch import col, in_arrow
 from .textkit import SLICE_BYTES, U64, mix, slices, text_of, words
 
 UNKNOWN = "und"
@@ -112,7 +112,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), place[lang])), pa.array(at), pa.array(own[at])], ["lang", "bucket", "n"])
 
-    sums = rows.where(draw < share).select("text", "lang").mapInArrow(run, "lang bigint, bucket bigint, n double")
+    sums = in_arrow(rows.where(draw < share).select("text", "lang"), run, "lang bigint, bucket bigint, n double")
     sums = sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
     table = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(names)))
     table[sums.bucket.to_numpy(), sums.lang.to_numpy()] = sums.n
@@ -174,7 +174,8 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     scripts were never learned gets the first language by name with score 0. Ties go to
     the first name. Without any learned language all rows are `und`.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays: a class of this package would have to be importable on the executors
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.scores, model.scripts))
     names = [*model.names, UNKNOWN]
     columns = ["doc" if whole else "doc_id", "lang_pred", "score"] + ["spans"] * spans
 
@@ -198,10 +199,11 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays(arrays, columns)
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value)
         ids, flags, parts, held = [], [], [], 0
         for batch in batches:
-            for key, texts in slices(batch.column(0), batch.column(1), SLICE_BYTES):
+            first = batch.column(0)
+            for key, texts in slices(first, first.field(text_col).cast(pa.string()) if whole else batch.column(1), SLICE_BYTES):
                 texts = text_of(texts)
                 ids.append(key)
                 flags += [bool(m.names) and LETTER.search(t) is not None for t in texts]
@@ -218,15 +220,20 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             yield finish(ids, flags, parts)
 
     first = F.struct(*(col(c) for c in docs.columns)).alias("doc") if whole else col(id_col).cast("long").alias("doc_id")
-    rows = docs.select(first, col(text_col).cast("string").alias("__text"))
+    rows = docs.select(first, *([] if whole else [col(text_col).cast("string").alias("text")]))
     found = "array<struct<start: bigint, end: bigint, lang: string>>"
     kinds = StructType([rows.schema[0]]).add("lang_pred", "string").add("score", "double")
     if not model.names:
         return rows.select(columns[0], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *([F.array().cast(found).alias("spans")] * spans))
-    return rows.mapInArrow(run, kinds.add("spans", found) if spans else kinds)
+    return in_arrow(rows, run, kinds.add("spans", found) if spans else kinds)
 
 
-def drop_unidentified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """`docs` without the rows whose language is unknown, or of which no language covers the share `least`; all columns stay."""
-    found = identified(docs, model, id_col, text_col, whole=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+def drop_unidentified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """`docs` without the rows whose language is unknown or has a score of `least` or less; all columns stay.
+
+    Null and empty texts, texts without a letter and those in no learned script go. A text
+    of several languages stays, however its words are shared among them. Ties and repeated
+    rows are judged by their text alone; columns keep their names, whatever they are.
+    """
+    found = identified(docs, model, id_col, text_col, whole=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > least))
     return found.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scratch import Scratch, col
+from .scratch import Scratch, col, in_arrow
 from .textkit import slices
 from .webp import STRIP, WIDTH, Known, read_strips, write_strips
 
@@ -95,7 +95,7 @@ def written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(b) for b in bodies], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return in_arrow(rows, run, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def described(stored: DataFrame, payloads: bool = False) -> DataFrame:
@@ -117,7 +117,7 @@ def described(stored: DataFrame, payloads: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.flatten(), *columns], names)
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema + ", payload binary" * payloads)
+    return in_arrow(stored.select("doc_id", "n_bytes", "media"), run, schema + ", payload binary" * payloads)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payloads: bool = False) -> DataFrame:

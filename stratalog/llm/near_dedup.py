@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, col, rows_in
+from .scratch import Scratch, col, in_arrow, rows_in
 from .textkit import U64, flat, lower_ascii, mix, slices, span_hashes, words
 
 #: 32 bands of 4 minima miss a pair at similarity 0.8 with odds of 5 in 10 ** 8.
@@ -125,7 +125,7 @@ def sketches(docs: DataFrame, like: Likeness, bands: int, rows: int) -> DataFram
                     ["doc_id", "n", "whole", "signature"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, whole binary, signature binary")
+    return in_arrow(docs, run, "doc_id bigint, n bigint, whole binary, signature binary")
 
 
 def full_sets(docs: DataFrame, like: Likeness) -> DataFrame:
@@ -141,7 +141,7 @@ def full_sets(docs: DataFrame, like: Likeness) -> DataFrame:
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * ODD), pa.array(odd.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids, lists, bits], ["doc_id", "shingles", "odd"])
 
-    return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>, odd array<bigint>")
+    return in_arrow(docs, run, "doc_id bigint, shingles array<bigint>, odd array<bigint>")
 
 
 def alike_signatures(pairs: DataFrame, least: int) -> DataFrame:
@@ -154,7 +154,7 @@ def alike_signatures(pairs: DataFrame, least: int) -> DataFrame:
                 good = (left == right).sum(axis=1) >= least
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return in_arrow(pairs, run, "a bigint, b bigint")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import col
+from .scratch import col, in_arrow
 from .textkit import U64, flat, lower_ascii, mix, slices, span_hashes, words
 
 #: Size of the hashed feature space; the model is at most so many weights.
@@ -118,4 +118,5 @@ def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
                 score = 1 / (1 + np.exp(-np.clip((sums[ends] - sums[ends - counts]) / np.sqrt(np.maximum(counts, 1)) + w[SPACE], -35, 35)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double, predicted int")
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    return in_arrow(rows, run, "doc_id bigint, score double, predicted int")
