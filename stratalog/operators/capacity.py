@@ -101,3 +101,20 @@ def removal_guard(audit: DataFrame, system: DataFrame, force: bool = False) -> D
     """One row: refuse if a system volume would lose data; else ok if no volume is at risk, forced if asked for, refuse else. `audit` has volume_id, below_min and lost."""
     risk = audit.join(system.select("volume_id", "system"), "volume_id").agg(F.coalesce(F.max((F.col("system") & (F.col("lost") > 0)).cast("int")), F.lit(0)).alias("hard"), F.count_if((F.col("below_min") > 0) | (F.col("lost") > 0)).alias("at_risk"))
     return risk.select("at_risk", F.when(F.col("hard") == 1, "refuse").when(F.col("at_risk") == 0, "ok").when(F.lit(force), "forced").otherwise("refuse").alias("decision"))
+
+
+def off_duty(nodes: DataFrame) -> DataFrame:
+    """Nodes (node, state) that are draining or under maintenance."""
+    return nodes.where(F.col("state").isin("draining", "maintenance"))
+
+
+def over_replicated_asks(volumes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Volumes that want more copies than there are nodes."""
+    there = nodes.select("node").distinct().count()
+    return volumes.select("volume_id", (F.col("factor") > there).alias("degraded"))
+
+
+def with_defaults(stats: DataFrame, configs: DataFrame, key: str, default: dict[str, int]) -> DataFrame:
+    """Rows with the settings of their key, or the default ones."""
+    joined = stats.join(F.broadcast(configs), key, "left")
+    return joined.select(*stats.columns, *(F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in default.items()))

@@ -18,6 +18,13 @@ def fixed_chunks(content: DataFrame, size: int) -> DataFrame:
     return parts.select("file_id", "source", F.col("pos").cast("long").alias("pos"), F.sha2(piece, 256).alias("hash"), F.length(piece).cast("long").alias("length"))
 
 
+def fixed_pieces(content: DataFrame, size: int) -> DataFrame:
+    """file_id, start and data of each chunk of `size` bytes."""
+    body = content.select("file_id", F.col("text").cast("binary").alias("body")).where(F.length("body") > 0)
+    parts = body.select("file_id", "body", F.explode(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / size).cast("int"))).alias("pos"))
+    return parts.select("file_id", (F.col("pos") * size).alias("start"), F.substring(F.col("body"), F.col("pos") * size + 1, F.lit(size)).alias("data"))
+
+
 def dedup_savings(chunked: DataFrame) -> DataFrame:
     """Per source: chunks, distinct chunks, bytes, and bytes after each distinct chunk is stored once."""
     distinct = chunked.groupBy("source", "hash").agg(F.count("*").alias("n"), F.max("length").alias("length"))
@@ -52,3 +59,62 @@ def scrubbed(blobs: DataFrame) -> DataFrame:
     """Blobs (hash, data, key_known) classed as ok, corrupt or key_unavailable."""
     state = F.when(~F.col("key_known"), "key_unavailable").when(F.sha2("data", 256) == F.col("hash"), "ok").otherwise("corrupt")
     return blobs.select("hash", state.alias("state"))
+
+
+#: Content-defined chunks: least, target and most bytes.
+DEFINED = (64 << 10, 256 << 10, 1 << 20)
+
+
+def defined_chunks(content: DataFrame, least: int = DEFINED[0], target: int = DEFINED[1], most: int = DEFINED[2]) -> DataFrame:
+    """file_id, pos, start, length and hash of content-defined chunks of each file's bytes (file_id, body): equal runs of bytes give equal chunks wherever they stand.
+
+    A cut comes where a hash of the last 64 bytes has zeros in its mask, of more bits before
+    `target` bytes and of fewer after it, never before `least` nor after `most`.
+    """
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    # a number for each byte from its digest
+    gear = [int.from_bytes(hashlib.sha256(bytes([b])).digest()[:8], "little") for b in range(256)]
+    bits = target.bit_length() - 1
+    masks = tuple(((1 << n) - 1) << (64 - n) for n in (bits + 2, bits - 2))
+
+    def hashes(data: np.ndarray) -> np.ndarray:
+        """At each byte the sum of the last 64 numbers, each doubled once for every byte since."""
+        out = np.array(gear, np.uint64)[data]
+        width = 1
+        while width < 64:
+            out[width:] = out[width:] + (out[:-width] << np.uint64(width))
+            width *= 2
+        return out
+
+    def cuts(data: np.ndarray) -> list[int]:
+        marks = hashes(data)
+        hard, easy = (np.flatnonzero(marks & np.uint64(m) == 0) + 1 for m in masks)
+        at, out = 0, []
+        while at < len(data):
+            end = min(len(data), at + most)
+            for found, low, high in ((hard, at + least, min(end, at + target)), (easy, min(end, at + target), end)):
+                k = np.searchsorted(found, low + (found is easy))
+                if k < len(found) and found[k] <= high:
+                    end = int(found[k])
+                    break
+            out.append(end)
+            at = end
+        return out
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body, start = body.as_buffer(), 0
+                data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+                for pos, end in enumerate(cuts(data)):
+                    rows.append((key, pos, start, end - start, hashlib.sha256(data[start:end]).hexdigest()))
+                    start = end
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(columns)], ["file_id", "pos", "start", "length", "hash"])
+
+    return content.select(F.col("file_id").cast("long"), F.col("body").cast("binary")).mapInArrow(run, "file_id bigint, pos bigint, start bigint, length bigint, hash string")

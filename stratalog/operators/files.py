@@ -209,3 +209,51 @@ def covered_by_other(roots: DataFrame, current: DataFrame, restoring: int) -> Da
     same = roots.where(F.col("snapshot_id") != restoring).join(current.select("shard", F.col("root").alias("now")), "shard", "left")
     full = same.groupBy("snapshot_id").agg(F.count("*").alias("n"), F.count_if(F.col("root") == F.col("now")).alias("equal")).where((F.col("n") == want) & (F.col("equal") == want))
     return full.agg((F.count("*") > 0).alias("covered"))
+
+
+def chunk_infos(listed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A list of chunks (file_id, pos, chunk_id) with what the catalog knows of each, in the list's order; unknown ones have nulls."""
+    return listed.join(chunks.select("chunk_id", "hash", "stored_size"), "chunk_id", "left").select("file_id", "pos", "chunk_id", "hash", "stored_size")
+
+
+def page_divergence(pages: DataFrame, declared: DataFrame, held: DataFrame) -> DataFrame:
+    """Pages (volume_id, page) that a drive declared for their volume (volume_id, drive_id) does not hold."""
+    return pages.join(declared, "volume_id").join(held, ["page", "drive_id"], "left_anti").select("volume_id", "page", "drive_id")
+
+
+def pinned_files(files: DataFrame, pins: DataFrame) -> DataFrame:
+    """Detached files that claims (claim_id, file_ids) pin, with the number of pins."""
+    each = pins.select("claim_id", F.explode("file_ids").alias("file_id"))
+    return files.where("detached").select("file_id").join(each, "file_id").groupBy("file_id").agg(F.count("*").alias("pins"))
+
+
+def naming(declared: DataFrame, drive: int) -> DataFrame:
+    """One row: volumes that still name a drive, and whether there is none."""
+    return declared.where(F.col("drive_id") == drive).agg(F.count_distinct("volume_id").alias("volumes")).withColumn("clear", F.col("volumes") == 0)
+
+
+def owner_minimum(owners: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Per chunk (chunk_id, volume_ids) the strictest least number of copies over its owners; an owner that is not there asks for one."""
+    each = owners.select("chunk_id", F.explode_outer("volume_ids").alias("volume_id")).join(volumes.select("volume_id", "min_copies"), "volume_id", "left")
+    return each.groupBy("chunk_id").agg(F.max(F.coalesce("min_copies", F.lit(1))).alias("need"))
+
+
+def samples(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """Per group: the number of rows and the `most` least keys, as an array. Each of many deals gives its least keys first."""
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64(key), F.lit(64)))
+    place = lambda *by: F.row_number().over(Window.partitionBy(group, *by).orderBy(key))
+    some = dealt.withColumn("n", place("deal")).where(F.col("n") <= most).withColumn("n", place()).where(F.col("n") <= most)
+    few = some.groupBy(group).agg(F.sort_array(F.collect_list(key)).alias("sample"))  # at most `most` a group
+    return rows.groupBy(group).agg(F.count("*").alias("rows")).join(few, group)
+
+
+def assembled(parts: DataFrame, first: int, last: int) -> DataFrame:
+    """file_id, data: bytes [first, last) of each file from its parts (file_id, start, data); what no part covers at the end reads as zeros. A range has to fit a task."""
+    end = F.col("start") + F.octet_length("data")
+    touched = parts.where((F.col("start") < last) & (end > first))
+    skip = F.greatest(F.lit(first) - F.col("start"), F.lit(0)).cast("int")
+    piece = F.substring("data", skip + 1, (F.least(F.lit(last), end) - F.greatest(F.lit(first), "start")).cast("int"))
+    lists = touched.select("file_id", "start", piece.alias("piece")).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("p"))
+    body = F.aggregate("p", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["piece"]))
+    zeros = F.unhex(F.repeat(F.lit("00"), (F.lit(last - first) - F.octet_length("body")).cast("int")))
+    return lists.select("file_id", body.alias("body")).select("file_id", F.concat("body", zeros).alias("data"))

@@ -81,7 +81,7 @@ def orphans(rows: DataFrame, now: str, grace: int) -> DataFrame:
 def due(rows: DataFrame, now: str) -> DataFrame:
     """Schedules (id, interval_s, last_run) that are due: with an interval, and never run or run no less than it ago."""
     ago = F.unix_micros(moment(now).cast("timestamp")) - F.unix_micros(F.col("last_run").cast("timestamp"))
-    return rows.where((F.col("interval_s") > 0) & (F.col("last_run").isNull() | (ago >= F.col("interval_s") * 1_000_000)))
+    return rows.where((F.col("interval_s") > 0) & (F.col("last_run").isNull() | (ago >= F.col("interval_s").cast("long") * 1_000_000)))
 
 
 def latest_completed(rows: DataFrame, group: str, order: str) -> DataFrame:
@@ -116,3 +116,24 @@ def rate_limited(requests: DataFrame, key: str, most: int, window_s: int) -> Dat
 
     total = F.aggregate(F.transform("asked", lambda x: x["n"]), F.lit(0).cast("long"), lambda a, n: a + n)
     return lists.select(key, F.aggregate("asked", start, step)["passed"].alias("passed"), total.alias("asked")).select(key, "passed", (F.col("asked") - F.col("passed")).alias("refused"))
+
+
+def claims(rows: DataFrame, prefix: str = "", path: str | None = None, kind: str | None = None, holder=None) -> DataFrame:
+    """Claims under a prefix, at a path, of a kind and of a holder, each where asked for, by id."""
+    found = rows.where(F.col("path").startswith(prefix) & one_of("path", path) & one_of("kind", kind) & one_of("holder", holder))
+    return found.orderBy("claim_id")
+
+
+def active_locks(rows: DataFrame, now: str | None) -> DataFrame:
+    """Locks that have not run out at `now`, or all."""
+    return rows if now is None else rows.where(F.col("expires_at") > moment(now))
+
+
+def kept_events(events: DataFrame, now: str, days: int, most: int) -> DataFrame:
+    """Events of the last `days` days, the newest `most` of them."""
+    return events.where(F.col("ts") >= moment(now) - F.expr(f"interval {days} days")).orderBy(F.desc("ts"), F.desc("id")).limit(most)
+
+
+def within(created: Column, now: str, days: int) -> Column:
+    """Whether the whole days since are fewer than `days` (weeks have 7, months 31)."""
+    return F.floor((F.unix_seconds(moment(now).cast("timestamp")) - F.unix_seconds(created.cast("timestamp"))) / 86_400) < days

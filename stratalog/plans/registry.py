@@ -250,4 +250,4 @@ def multipart_etags(v: Views) -> DataFrame:
     return content.part_etags(v.content, PART)
 
 
-from . import more  # noqa: E402, F401  adds its queries to QUERIES and SQL
+from . import lists, more  # noqa: E402, F401  they add their queries to QUERIES and SQL
