@@ -6,10 +6,11 @@ image. Back-references and colour cache hits become pointers to earlier pixels,
 doubling. Then palette, subtract-green, cross-colour and predictor transforms are inverted,
 the predictor along a wavefront x + 2y of independent pixels.
 
-Writer. Pixels are literals or back-references. `write_strips` cuts long data into small
-images, which share one static code or, with few colours, have a palette; `read_strips`
-reads them side by side. `write_image` takes transforms and a colour cache by choice, and
-gives an image codes of its own.
+Writer. Pixels are literals, colour cache hits or back-references. `write_strips` cuts long
+data into small images, and each takes what makes it smallest: a static code, a static code
+with a colour cache, a palette, or codes of its own after a predictor, subtract-green or
+cross-colour transform. `read_strips` reads those with static codes side by side.
+`write_image` takes transforms and a colour cache by choice.
 """
 
 from __future__ import annotations
@@ -34,6 +35,14 @@ STRIP, WIDTH = 1024, 64
 LEAVE_ROUNDS = 16
 #: Most colours of an image that gets a palette.
 PALETTE = 16
+#: Bits of the colour cache of strips, and the share of their pixels that hit it, by which the static code is made.
+CACHE, HITS = 8, 0.35
+#: Predictors that the writer tries, one for a whole strip, and the bits that codes of its own cost a strip at least.
+TRIED, OWN_BITS = (1, 2, 4, 11, 12), 900
+#: A transform is tried where it leaves less than this share of the bits that the colours take as they are.
+WORTH = 0.95
+#: Block bits of a strip's predictor or cross-colour element: one block.
+ONE_BLOCK = 9
 
 
 def near_offsets() -> np.ndarray:
@@ -558,14 +567,18 @@ class Codes:
         self.pieces = [p for x in lengths for p in code_pieces(x)]
 
 
-@lru_cache(maxsize=1)
-def static_codes() -> Codes:
-    """One code for all small images of text: weights by the kind of byte, the same for each colour."""
+@lru_cache(maxsize=2)
+def static_codes(cache: int = 0) -> Codes:
+    """One code for all small images of text, with or without a colour cache: weights by the kind of byte, the same for each colour."""
     weight = np.ones(LITERALS + LENGTHS, np.int64)
     for chars, w in ((range(128, 256), 3), (range(33, 127), 4), (range(48, 58), 8), (range(97, 123), 30), (b".,\n", 16), (b"etaoinsrhld", 80), (b" ", 250)):
         weight[list(chars)] = w
     far = np.ones(DISTANCES, np.int64)
-    return Codes([code_lengths(weight), code_lengths(weight[:256]), code_lengths(weight[:256]), one_symbol(256, 255), code_lengths(far)])
+    green = weight
+    if cache:
+        each = weight.sum() * HITS / (1 - HITS) / (1 << cache)
+        green = np.r_[weight * 16, np.full(1 << cache, round(each * 16))]
+    return Codes([code_lengths(green), code_lengths(weight[:256]), code_lengths(weight[:256]), one_symbol(256, 255), code_lengths(far)])
 
 
 def one_symbol(size: int, symbol: int) -> np.ndarray:
@@ -702,20 +715,23 @@ def image_pieces(pixels: np.ndarray, main: bool, cache: int = 0, copies: bool =
     """An image with codes of its own as arrays of (bits, number of bits)."""
     owner = np.zeros(len(pixels), np.int64)
     found = symbols_of(pixels, owner, copies)
-    slots = None
-    if cache:
-        key = cache_slots(pixels.astype(np.uint32), cache)
-        order = np.argsort(key, kind="stable")
-        hit = np.full(len(pixels), -1)
-        same = (key[order][1:] == key[order][:-1]) & (pixels[order][1:] == pixels[order][:-1])
-        hit[order[1:][same]] = key[order[1:][same]]
-        slots = hit[found["plain"]]
+    slots = hit_slots(pixels, owner, cache)[found["plain"]] if cache else None
     codes = own_codes(pixels, found, cache, slots)
     _, bits, sizes = written(pixels, found, codes, slots)
     head = [(1, 1), (cache, 4)] if cache else [(0, 1)]
     return [as_arrays(head + ([(0, 1)] if main else []) + codes.pieces), (bits, sizes)]
 
 
+def hit_slots(pixels: np.ndarray, owner: np.ndarray, cache: int) -> np.ndarray:
+    """The cache slot of each pixel whose image's last pixel in that slot is the same, else -1."""
+    key = owner << cache | cache_slots(pixels.astype(np.uint32), cache)
+    order = np.argsort(key, kind="stable")
+    hit = np.full(len(pixels), -1)
+    same = (key[order][1:] == key[order][:-1]) & (pixels[order][1:] == pixels[order][:-1])
+    hit[order[1:][same]] = key[order[1:][same]] & ((1 << cache) - 1)
+    return hit
+
+
 def as_arrays(pieces: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pieces], U64), np.array([p[1] for p in pieces], np.int64)
 
@@ -784,52 +800,107 @@ def write_strips(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     if plain.any():
         pixels, area = pixels[np.repeat(plain, area)], area[plain]
         owner = np.repeat(np.arange(len(area)), area)
-        codes = static_codes()
-        place, bits, sizes = written(pixels, symbols_of(pixels, owner), codes)
-        heads, head_sizes = static_heads()
-        head_size = int(head_sizes.sum())
-        body = np.bincount(owner[place], sizes, len(area)).astype(np.int64)
+        found = symbols_of(pixels, owner)
+        place, bits, sizes = written(pixels, found, static_codes())
+        _, bits_c, sizes_c = written(pixels, found, static_codes(CACHE), hit_slots(pixels, owner, CACHE)[found["plain"]])
+        heads = [static_heads(c) for c in (0, CACHE)]
+        head_size = np.array([int(h[1].sum()) for h in heads])
+        bodies = [np.bincount(owner[place], x, len(area)).astype(np.int64) for x in (sizes, sizes_c)]
+        cached = bodies[1] + head_size[1] < bodies[0] + head_size[0]
+        body, head_size = np.where(cached, bodies[1], bodies[0]), head_size[cached.astype(int)]
+        bits, sizes = np.where(cached[owner[place]], bits_c, bits), np.where(cached[owner[place]], sizes_c, sizes)
         length = (head_size + body + 7) // 8
         at = (np.cumsum(length) - length) * 8
         within = np.cumsum(sizes) - sizes - (np.cumsum(body) - body)[owner[place]]
-        head_at = (at[:, None] + (np.cumsum(head_sizes) - head_sizes)[None, :]).ravel()
-        data = joined_bits(np.r_[heads[area // WIDTH - 1].ravel(), bits], np.r_[np.tile(head_sizes, len(area)), sizes], np.r_[head_at, at[owner[place]] + head_size + within], int(length.sum()) * 8).tobytes()
-        for k, a, n in zip(np.flatnonzero(plain).tolist(), (at // 8).tolist(), length.tolist(), strict=True):
-            files[k] = boxed(data[a : a + n])
+        put = [(bits, sizes, (at + head_size)[owner[place]] + within)]
+        for (rows, wide), mine in zip(heads, (~cached, cached), strict=True):
+            put.append((rows[area[mine] // WIDTH - 1].ravel(), np.tile(wide, int(mine.sum())), (at[mine][:, None] + (np.cumsum(wide) - wide)[None, :]).ravel()))
+        data = joined_bits(*(np.concatenate([x[k] for x in put]) for k in range(3)), int(length.sum()) * 8).tobytes()
+        made = [boxed(data[a : a + n]) for a, n in zip((at // 8).tolist(), length.tolist(), strict=True)]
+        for k, choices in transforms_worth(pixels, owner, area, length * 8):
+            first_at = int(np.sum(area[:k]))
+            part = pixels[first_at : first_at + area[k]]
+            made[k] = min([made[k], *(write_image(part, WIDTH, int(area[k]) // WIDTH, c) for c in choices)], key=len)
+        for k, file in zip(np.flatnonzero(plain).tolist(), made, strict=True):
+            files[k] = file
     cuts = np.searchsorted(payload_of, np.arange(len(np.unique(payload_of)) + 1)).tolist()
     return [b"".join(files[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-@lru_cache(maxsize=1)
-def static_heads() -> tuple[np.ndarray, np.ndarray]:
+def spreads(parts: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """Bits that the colours (red, green, blue by pixel) of each strip take at least, each coded by its own counts."""
+    out = np.zeros(count)
+    size = np.bincount(owner, minlength=count)
+    at = owner * 256
+    for k in range(3):
+        n = np.bincount(at + parts[:, k], minlength=count * 256).reshape(count, 256)
+        out += size * np.log2(np.maximum(size, 1)) - (n * np.log2(np.maximum(n, 1))).sum(axis=1)
+    return out
+
+
+def transforms_worth(pixels: np.ndarray, owner: np.ndarray, area: np.ndarray, bits: np.ndarray) -> list[tuple[int, list[tuple]]]:
+    """Strips that a transform may make smaller than `bits`, each with the transforms to try.
+
+    Differences from the pixel on the left, above, and above it on the left, and from green,
+    tell which strips these are; the other predictors are tried on them as well.
+    """
+    parts = np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1]
+    plain = spreads(parts, owner, len(area))
+    changed = [parts - parts[:, [1]]] + [parts - np.r_[parts[:d], parts[:-d]] for d in (1, WIDTH, WIDTH + 1)]
+    changed[0][:, 1] = parts[:, 1]
+    least = np.min([spreads(x, owner, len(area)) for x in changed], axis=0)
+    element = lambda value: np.array([value], np.uint32)
+    out = []
+    # codes of its own alone are no reason: such strips are not read side by side
+    for k in np.flatnonzero((least + OWN_BITS < bits) & (least < WORTH * plain)).tolist():
+        cross = ("cross", ONE_BLOCK, element(0xFF000000 | cross_element(pixels[owner == k])))
+        tried = [("predict", ONE_BLOCK, element(0xFF000000 | mode << 8)) for mode in TRIED]
+        out.append((k, [(("green",),), (cross,), *((t,) for t in tried), *((t, cross) for t in tried)]))
+    return out
+
+
+def cross_element(pixels: np.ndarray) -> int:
+    """The multipliers of red and blue by green, in 32nds, that fit the pixels best by least squares; low byte green to red, then green to blue."""
+    c = channels(pixels).astype(float)
+    g = c[:, 1] @ c[:, 1]
+    red, blue = (int(np.clip(round(32 * (c[:, k] @ c[:, 1]) / g), -128, 127)) if g else 0 for k in (2, 0))
+    return red & 255 | (blue & 255) << 8
+
+
+@lru_cache(maxsize=2)
+def static_heads(cache: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The start of a strip's stream in pieces, for each height, and the bits of the pieces."""
     rows = []
+    flags = [(0, 1), (1, 1), (cache, 4), (0, 1)] if cache else [(0, 3)]
     for height in range(1, STRIP // WIDTH + 1):
         value, n = 0, 0
-        for v, k in [*head_pieces(WIDTH, height), (0, 3), *static_codes().pieces]:
+        for v, k in [*head_pieces(WIDTH, height), *flags, *static_codes(cache).pieces]:
             value, n = value | v << n, n + k
         rows.append(as_arrays(spread(value, n)))
     return np.stack([r[0] for r in rows]), rows[0][1]
 
 
 class Known:
-    """Descriptions of codes met before: streams without transforms, cache and groups whose first bits agree share them."""
+    """Descriptions of codes met before: streams without transforms and groups whose first bits agree share them."""
 
     def __init__(self, most: int = 8):
         self.most, self.seen = most, {}
 
-    def find(self, stream: bytes) -> tuple[int, tuple[Code, ...]] | None:
-        """Where the pixels begin, and the codes."""
-        for number, (size, codes) in self.seen.items():
+    def find(self, stream: bytes) -> tuple[int, tuple[Code, ...], int] | None:
+        """Where the pixels begin, the codes, and the bits of the colour cache."""
+        for number, (size, codes, cache) in self.seen.items():
             if Bits(stream, 40).peek(size) == number:
-                return 40 + size, codes
-        if len(self.seen) >= self.most or Bits(stream, 40).peek(3):
+                return 40 + size, codes, cache
+        bits = Bits(stream, 40)
+        if len(self.seen) >= self.most or bits.take(1):
+            return None
+        cache = bits.take(4) if bits.take(1) else 0
+        if bits.take(1):
             return None
-        bits = Bits(stream, 43)
-        codes = read_codes(bits, 0)
+        codes = read_codes(bits, cache)
         size = bits.at - 40
-        self.seen[Bits(stream, 40).peek(size)] = (size, codes)
-        return bits.at, codes
+        self.seen[Bits(stream, 40).peek(size)] = (size, codes, cache)
+        return bits.at, codes, cache
 
 
 def read_strips(files: list[bytes], known: Known) -> list[bytes]:
@@ -854,14 +925,14 @@ def read_strips(files: list[bytes], known: Known) -> list[bytes]:
     for group in together.values():
         sizes = np.array([len(g[2]) for g in group]) * 8
         total = np.array([g[3] for g in group])
-        pixels = side_by_side(b"".join(g[2] for g in group), np.cumsum(sizes) - sizes + group[0][4][0], total, group[0][4][1])
+        pixels = side_by_side(b"".join(g[2] for g in group), np.cumsum(sizes) - sizes + group[0][4][0], total, *group[0][4][1:])
         data = to_bytes(pixels)
         for (k, j, *_), end, n in zip(group, np.cumsum(total).tolist(), total.tolist(), strict=True):
             parts[k][j] = data[(end - n) * 3 : end * 3]
     return [b"".join(p) for p in parts]
 
 
-def side_by_side(data: bytes, begin: np.ndarray, total: np.ndarray, codes: tuple[Code, ...]) -> np.ndarray:
+def side_by_side(data: bytes, begin: np.ndarray, total: np.ndarray, codes: tuple[Code, ...], cache: int = 0) -> np.ndarray:
     """Pixels of images with the same codes and the width WIDTH: a symbol of every image per round."""
     *tables, distance = [c.symbols.astype(np.int64) | c.used.astype(np.int64) << 16 for c in codes]
     *masks, last_mask = [(1 << c.width) - 1 for c in codes]
@@ -869,6 +940,7 @@ def side_by_side(data: bytes, begin: np.ndarray, total: np.ndarray, codes: tuple
     word = np.lib.stride_tricks.as_strided(stream.data, (len(stream.data) - 8, 8), (1, 1)).copy().view("<i8").ravel()
     first = np.cumsum(total) - total + np.arange(len(total))  # each image with a place for what follows its last pixel
     values, back = np.zeros(int(total.sum()) + len(total), np.int64), np.zeros(int(total.sum()) + len(total), np.int64)
+    slot = np.full(len(values), -1) if cache else None
     at, done, goal, rounds = begin.copy(), first.copy(), first + total, 0
     while len(at):
         w = word[at >> 3] >> (at & 7)
@@ -876,6 +948,7 @@ def side_by_side(data: bytes, begin: np.ndarray, total: np.ndarray, codes: tuple
         used = green >> 16
         green &= 0xFFFF
         value, bits = green << 8, used
+        own = used
         for k, shift in ((1, 16), (2, 0), (3, 24)):
             if masks[k]:
                 if k == 3:  # a fourth symbol may lie beyond the word
@@ -891,6 +964,13 @@ def side_by_side(data: bytes, begin: np.ndarray, total: np.ndarray, codes: tuple
         values[place] = value
         odd = np.flatnonzero(green >= LITERALS)
         step = 1
+        if cache and len(odd):
+            hits = odd[green[odd] >= LITERALS + LENGTHS]
+            odd = odd[green[odd] < LITERALS + LENGTHS]
+            values[place[hits]] = 0
+            slot[place[hits]] = green[hits] - LITERALS - LENGTHS
+            bits = bits.copy()
+            bits[hits] = own[hits]
         if len(odd):
             step = np.ones(len(at), np.int64)
             begun = at[odd]
@@ -925,6 +1005,10 @@ def side_by_side(data: bytes, begin: np.ndarray, total: np.ndarray, codes: tuple
                 at, done, goal = at[live], done[live], goal[live]
     inside = np.ones(len(values), bool)
     inside[first + total] = False
+    if cache:
+        # what a place after an image holds is no pixel of it
+        slot[first + total] = -1
+        return resolved(values, back, slot, np.repeat(np.arange(len(total)), total + 1), cache)[inside]
     if back.any():
         values = values[doubled(np.arange(len(values)) - back)]
     return values[inside].astype(np.uint32)

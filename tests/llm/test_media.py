@@ -86,3 +86,81 @@ def test_broken_files_are_refused():
         webp.read_image(b"RIFX" + file[4:])
     with pytest.raises(ValueError):
         webp.read_image(file[:20] + b"\0" + file[21:])
+
+
+class Hand:
+    """A stream put together bit by bit after the format's text, without the writer."""
+
+    def __init__(self, width, height):
+        self.bits = []
+        self.put((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3))
+
+    def put(self, *pieces):
+        for value, n in pieces:
+            self.bits += [value >> k & 1 for k in range(n)]
+        return self
+
+    def one(self, *symbols):
+        """Codes of a single symbol each, which take no bits in the pixels."""
+        for s in symbols:
+            self.put((1, 1), (0, 1), (1, 1), (s, 8))
+        return self
+
+    def two(self, a, b):
+        return self.put((1, 1), (1, 1), (1, 1), (a, 8), (b, 8))
+
+    def read(self):
+        number = sum(b << k for k, b in enumerate(self.bits))
+        data = number.to_bytes((len(self.bits) + 7) // 8 + 8, "little")
+        file = b"RIFF" + (len(data) + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data
+        return [tuple(int(p) >> s & 255 for s in (24, 16, 8, 0)) for p in webp.read_image(file)[0]]
+
+
+def test_fixed_bits_of_a_predictor():
+    hand = Hand(2, 2).put((1, 1), (0, 2), (0, 3), (0, 1)).one(2, 0, 0, 255, 0)  # above, in one block
+    hand.put((0, 1), (0, 1), (0, 1)).one(0, 10, 0, 0, 0)
+    assert hand.read() == [(255, r, 0, 0) for r in (10, 20, 20, 30)]
+
+
+def test_fixed_bits_of_cross_colour():
+    hand = Hand(1, 1).put((1, 1), (1, 2), (0, 3), (0, 1)).one(16, 0, 32, 255, 0)  # green to blue, red to blue, green to red
+    hand.put((0, 1), (0, 1), (0, 1)).one(64, 0, 0, 255, 0)
+    assert hand.read() == [(255, 64, 64, 32)]
+
+
+def test_fixed_bits_of_subtract_green_and_a_palette():
+    assert Hand(1, 1).put((1, 1), (2, 2), (0, 1), (0, 1), (0, 1)).one(200, 100, 5, 255, 0).read() == [(255, 44, 200, 205)]
+    hand = Hand(8, 1).put((1, 1), (3, 2), (1, 8), (0, 1))
+    hand.one(0).two(5, 7).one(0).two(0, 255).one(0).put((0, 1), (1, 1), (1, 1), (0, 1))  # red 5, opaque; then 7 more red
+    hand.put((0, 1), (0, 1), (0, 1)).one(0b10110001, 0, 0, 255, 0)
+    assert hand.read() == [(255, 12 if b == "1" else 5, 0, 0) for b in reversed("10110001")]
+
+
+def test_fixed_bits_of_a_colour_cache():
+    slot = (0xFF004100 * 0x1E35A7BD % 2**32) >> 31
+    hand = Hand(3, 1).put((0, 1), (1, 1), (1, 4), (0, 1))
+    hand.put((0, 1), (0, 4), (0, 3), (1, 3), (2, 3), (2, 3), (0, 1))  # lengths of lengths: 18 one bit, 0 and 1 two bits
+    zeros = lambda n: ((0, 1), (n - 11, 7))
+    one, none = ((1, 1), (1, 1)), ((1, 1), (0, 1))
+    hand.put(*zeros(65), *one, *zeros(138), *zeros(76 + slot), *one, *(none if slot == 0 else ()))
+    hand.one(0, 0, 255, 0).put((0, 1), (1, 1), (1, 1))
+    assert hand.read() == [(255, 0, 65, 0)] * 3
+
+
+def strips_of(payload):
+    return [webp.Bits(webp.unboxed(f), 40) for f in media.files_of(media.to_media([payload])[0])]
+
+
+def test_the_writer_takes_what_is_smallest():
+    rng = np.random.default_rng(7)
+    words = ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(60)]
+    text = " ".join(words[k] for k in rng.integers(0, 60, 4_000)).encode()
+    assert any(b.peek(2) == 2 for b in strips_of(media.padded(text)))  # no transform, a cache
+    assert all(b.peek(1) == 1 and b.peek(3) >> 1 == 3 for b in strips_of(media.padded(b"a" * 700 + b"b" * 300)))  # a palette
+    # rows that grow by one from the row above, and greys
+    rows = (rng.integers(0, 256, (1, 192)) + np.arange(16)[:, None] * rng.integers(1, 9, (1, 192))).astype(np.uint8)
+    greys = np.repeat(rng.integers(0, 256, 1024), 3).astype(np.uint8)
+    for payload in (rows.tobytes(), greys.tobytes()):
+        series = media.to_media([payload])[0]
+        assert webp.Bits(webp.unboxed(series), 40).peek(1) == 1 and len(series) < len(payload)
+        assert media.from_media([series], webp.Known()) == [payload]
