@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from .scratch import col, in_arrow
 from .textkit import SLICE_BYTES, U64, mix, slices, text_of, words
@@ -225,7 +225,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     kinds = StructType([rows.schema[0]]).add("lang_pred", "string").add("score", "double")
     if not model.names:
         return rows.select(columns[0], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *([F.array().cast(found).alias("spans")] * spans))
-    return in_arrow(rows, run, kinds.add("spans", found) if spans else kinds)
+    return in_arrow(rows, run, kinds.add("spans", DataType.fromDDL(found)) if spans else kinds)
 
 
 def drop_unidentified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:

@@ -111,3 +111,28 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.root for r in near_dedup.components(edges, Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
+
+
+def test_exact_dedup_goes_on_where_an_earlier_call_ended(docs, tmp_path):
+    state = str(tmp_path / "state")
+    first = exact_dedup.decisions(docs([(5, "a b", None), (6, "c", None)]), state=state).collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in first} == {(5, 5, True), (6, 6, True)}
+    later = exact_dedup.decisions(docs([(7, "a  b", None), (8, "d", None), (2, "c", None)]), state=state).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in later} == {(7, 5, 2, False), (8, 8, 1, True), (2, 2, 2, True)}
+
+
+def test_dropping_keeps_columns_of_any_name(spark):
+    names = "doc_id bigint, text string, doc int, locator string, digest int, first int, __text string, __id int"
+    rows = [(1, "a", 1, "l", 2, 3, "t", 4), (1, "a", 9, "l", 2, 3, "t", 4), (1, "b", 5, "l", 2, 3, "t", 4), (None, "b", 6, "l", 2, 3, "t", 4), (2, None, 7, "l", 2, 3, "t", 4), (3, "", 8, "l", 2, 3, "t", 4)]
+    left = exact_dedup.drop_copies(spark.createDataFrame(rows, names))
+    assert left.columns == [c.split()[0] for c in names.split(", ")]
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, "a"), (1, "b"), (2, None)], key=lambda x: x[0]) or sorted((r.doc_id, r.text or "") for r in left.collect()) == [(1, "a"), (1, "b"), (2, "")]
+
+
+def test_near_dedup_null_texts_and_dropping(docs):
+    rows = [(1, None, None), (2, None, None), (3, "", None), (4, "a b c d e f g", "s"), (5, "A b c d e f g", "s"), (6, "a b c d e f g", "t")]
+    out = near_dedup.near_duplicates(docs(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 3, 4, True), (5, 3, 4, False), (6, 3, 4, False)]
+    left = near_dedup.drop_near_copies(docs(rows))
+    assert left.columns == docs([]).columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 4]
+    assert near_dedup.drop_near_copies(docs([])).count() == 0
