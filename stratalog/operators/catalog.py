@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def copies(chunks: DataFrame, locations: DataFrame) -> DataFrame:
-    """`chunks` with the number of distinct drives that hold each, 0 included."""
-    held = locations.groupBy("chunk_id").agg(F.count_distinct("drive_id").alias("copies"))
+    """`chunks` with the number of drives that hold each, 0 included. `locations` has each pair of chunk and drive once."""
+    held = locations.groupBy("chunk_id").agg(F.count("*").alias("copies"))
     return chunks.join(held, "chunk_id", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
 
 
@@ -53,7 +53,7 @@ def tier_usage(usage: DataFrame) -> DataFrame:
 
 def sole_copy_drives(locations: DataFrame) -> DataFrame:
     """Drives that hold the only copy of chunks, most first."""
-    alone = locations.groupBy("chunk_id").agg(F.count_distinct("drive_id").alias("n"), F.min("drive_id").alias("drive_id")).where("n = 1")
+    alone = locations.groupBy("chunk_id").agg(F.min("drive_id").alias("drive_id"), F.max("drive_id").alias("other")).where("drive_id = other")
     return alone.groupBy("drive_id").agg(F.count("*").alias("sole_copies")).orderBy(F.desc("sole_copies"), "drive_id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -97,19 +97,42 @@ def round_robin(drives: DataFrame) -> DataFrame:
     return drives.select("node", "drive_id", F.row_number().over(Window.partitionBy("node").orderBy("drive_id")).cast("long").alias("round"))
 
 
+def running_total(rows: DataFrame, group: str, deal: Column, order: list, value: str, name: str, newest_first: bool = False) -> DataFrame:
+    """`rows` with the running sum of a value inside each group, the row itself included.
+
+    A group is dealt by `deal`, which has to grow (or, newest first, to fall) with the
+    order: a window sums each deal, another one the totals of the deals before it.
+    """
+    dealt = rows.withColumn("__deal", deal)
+    sums = dealt.groupBy(group, "__deal").agg(F.sum(value).alias("__sum"))
+    step = F.desc("__deal") if newest_first else F.asc("__deal")
+    before = F.sum("__sum").over(Window.partitionBy(group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(group, "__deal", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy(group, "__deal").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn(name, inside).join(sums, [group, "__deal"]).withColumn(name, F.col(name) + F.col("__before")).drop("__deal", "__before")
+
+
 def least_recent(access: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
     """Per volume the chunks most lately used whose sizes fit a budget together."""
     used = access.groupBy("hash").agg(F.max("ts").alias("last"))
     rows = used.withColumnRenamed("hash", "chunk_id").join(chunks, "chunk_id").select("volume_id", "chunk_id", "stored_size", "last")
-    order = Window.partitionBy("volume_id").orderBy(F.desc("last"), "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("total", F.sum("stored_size").over(order)).where(F.col("total") <= budget).select("volume_id", "chunk_id", "total")
+    total = running_total(rows, "volume_id", F.date_trunc("hour", "last"), [F.desc("last"), "chunk_id"], "stored_size", "total", newest_first=True)
+    return total.where(F.col("total") <= budget).select("volume_id", "chunk_id", "total")
+
 
+def health_changes(rows: DataFrame, group: str, order: list[str], abnormal: Column) -> DataFrame:
+    """Rows at which a group's health is first seen or changes.
 
-def health_changes(rows: DataFrame, group: str, order: list[str], abnormal) -> DataFrame:
-    """Rows at which a group's health is first seen or changes."""
-    w = Window.partitionBy(group).orderBy(*order)
-    flagged = rows.withColumn("abnormal", abnormal)
-    return flagged.withColumn("was", F.lag("abnormal").over(w)).where(~F.col("was").eqNullSafe(F.col("abnormal"))).drop("was")
+    Rows are compared with the one before them inside an hour; the first of an hour with the
+    last of the hour before, of which a row an hour is known. The first of `order` is the time.
+    """
+    flagged = rows.withColumn("abnormal", abnormal).withColumn("hour", F.date_trunc("hour", order[0]))
+    inside = Window.partitionBy(group, "hour").orderBy(*order)
+    ends = flagged.groupBy(group, "hour").agg(F.max_by("abnormal", F.struct(*order)).alias("last"))
+    ends = ends.select(group, "hour", F.lag("last").over(Window.partitionBy(group).orderBy("hour")).alias("before"))
+    compared = flagged.withColumn("was", F.lag("abnormal").over(inside)).withColumn("n", F.row_number().over(inside)).join(ends, [group, "hour"])
+    was = F.when(F.col("n") == 1, F.col("before")).otherwise(F.col("was"))
+    return compared.where(~was.eqNullSafe(F.col("abnormal"))).drop("was", "n", "before", "hour")
 
 
 def regressions(runs: DataFrame, window: int = 4) -> DataFrame:

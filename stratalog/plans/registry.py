@@ -97,8 +97,9 @@ def sole_copy_drives(v: Views) -> DataFrame:
 
 
 def swept(v: Views) -> DataFrame:
-    live = v.file_chunks.join(v.files.where("not detached").select("file_id"), "file_id", "left_semi")
-    return catalog.sweep(v.chunks, live, v.snapshot)
+    # a file marks its chunks if it is attached or in the snapshot: one semi-join for both
+    marking = v.files.where("not detached or created_at < timestamp_ntz'1998-01-01 00:00:00'").select("file_id")
+    return catalog.sweep(v.chunks, v.references.join(marking, "file_id", "left_semi"))
 
 
 @query("SELECT chunk_id, volume_id, stored_size, fate FROM v_sweep")

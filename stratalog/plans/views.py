@@ -40,11 +40,17 @@ class Views:
 
     @property
     def locations(self) -> DataFrame:
-        return self.table("lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("drive_id")).distinct()
+        # dealt by chunk once: the distinct rows, copies per chunk and joins on it need no further shuffle
+        return self.table("lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("drive_id")).repartition("chunk_id").distinct()
+
+    @property
+    def references(self) -> DataFrame:
+        """file_id, chunk_id, as often as a file names a chunk."""
+        return self.table("lineitem").select(F.col("l_partkey").alias("file_id"), F.col("l_orderkey").alias("chunk_id"))
 
     @property
     def file_chunks(self) -> DataFrame:
-        return self.table("lineitem").select(F.col("l_partkey").alias("file_id"), F.col("l_orderkey").alias("chunk_id")).distinct()
+        return self.references.distinct()
 
     @property
     def files(self) -> DataFrame:
