@@ -283,6 +283,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = Likeness()) -> DataFrame:
-    """`docs` with one document, that of the smallest id, of each component; all columns stay."""
+    """`docs` with one document, that of the smallest id, of each component; all columns stay. Rows of one id stay or go together, rows without an id and texts without words stay."""
     found = near_duplicates(docs, id_col, text_col, like)
     return rows_in(docs, found.where("not kept").select(F.col("doc_id").alias(id_col)), id_col, "left_anti")

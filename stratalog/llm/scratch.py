@@ -33,12 +33,16 @@ class Scratch:
     """Tables written once and reread, which cuts the lineage and outlives lost executors.
 
     `save` returns the reread table, `drop` removes one that no later step reads; what
-    is left goes when the process ends.
+    is left goes with `close`, or when the process ends.
     """
 
+    #: Those that have not been closed.
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.opened.append(self)
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -61,6 +65,9 @@ class Scratch:
             self._delete(self.path(name))
 
     def close(self) -> None:
+        if self not in Scratch.opened:
+            return
+        Scratch.opened.remove(self)
         try:
             if self.spark.sparkContext._jsc is not None:
                 self._delete(self.root)

@@ -1,11 +1,11 @@
 import hashlib
-import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stratalog.llm import bpe, mixing, warc
+from stratalog.llm.queries_text import tokenizer_path
 from stratalog.llm.scratch import Scratch
 
 
@@ -64,12 +64,12 @@ def test_warc_damage_and_empty(spark):
     assert {r.intact for r in warc.restore(broken, records).collect()} == {False}
 
 
-tokenizers = pytest.importorskip("tokenizers")
 TEXTS = ["", None, "Hello, WORLD's 123 ½ foo_bar", "a" * 20_000, "<|endoftext|>x<|startoftext|>", "ΑΣ Σ'LL", "\x1c\x85​  é é", "中文 字🙂", "don't  stop\n\tnow"]
 
 
 def test_bpe_equals_the_library(spark, docs):
-    path = os.environ.get("WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = tokenizer_path()
     reference = tokenizers.Tokenizer.from_file(path)
     out = {r.doc_id: r for r in bpe.encoded(docs([(i, t, None) for i, t in enumerate(TEXTS)]), path).collect()}
     for i, t in enumerate(TEXTS):
