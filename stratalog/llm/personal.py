@@ -47,7 +47,7 @@ TOP_DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ca|it|nl|ch|at|be|b
 CALLING = r"^\+(?:1|7|2[07]|3[0-46-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: How keys of well-known services begin, and forms of long names that are no keys.
 KEY_STARTS = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|glpat-|xox[abp]-|sk_live_|sk-|eyJ)"
-NO_KEY = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[a-z]+(?:[-_/][a-z0-9]{1,6})+$|^[0-9-]+[a-z]+$"
+NO_KEY = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^(?:[A-Za-z]+|[0-9]{1,6})(?:[-_/+]+(?:[A-Za-z]+|[0-9]{1,6}))+[-_/+]*$|^[0-9-]+[a-z]+$"
 #: Fixed values of the context labeler: words before a span that speak for it, and against it; for secrets, the name that a value is assigned to.
 SPEAKS_FOR = r"(?i)\b(?:e-?mail|mail|contact|kontakt|courriel|correo|phone|tel|telefon|t[ée]l[ée]phone|tel[ée]fono|call|mobile|cell|fax|card|karte|carte|tarjeta|visa|mastercard|ip|host|address|ssn|social security)\b"
 SPEAKS_AGAINST = r"(?i)\b(?:version|release|build|isbn|issn|doi|order|invoice|serial|model|sku|section|chapter|license|token|hash|commit|rfc)\b"
@@ -86,7 +86,7 @@ def sound(kind: str, m: Column) -> Column:
     if kind == "ssn":
         return ~m.rlike("^(?:000|666|9)|-00-|-0000$")
     if kind == "secret":
-        return (F.length(digits(m)) >= 3) & (F.size(F.array_distinct(F.split(m, ""))) >= 9)
+        return F.size(F.array_distinct(F.split(m, ""))) >= 8
     return F.lit(True)
 
 
