@@ -52,6 +52,11 @@ def jobs(rows: DataFrame, status=None, kind=None) -> DataFrame:
     return rows.where(one_of("status", status) & one_of("type", kind)).orderBy(F.desc("created_at"), "job_id")
 
 
+def backlog(rows: DataFrame, status, now: str) -> DataFrame:
+    """Jobs of some states by state and priority, and those whose time has run out by `now`."""
+    return rows.where(one_of("status", status)).groupBy("status", "priority").agg(F.count("*").alias("jobs"), F.count_if(F.col("expires_at") < moment(now)).alias("expired"))
+
+
 def escalations(rows: DataFrame, status=None, category=None) -> DataFrame:
     """Escalations by status and category, oldest first."""
     return rows.where(one_of("status", status) & one_of("category", category)).orderBy("created_at", "id")

@@ -135,8 +135,19 @@ def health_changes(rows: DataFrame, group: str, order: list[str], abnormal: Colu
     return compared.where(~was.eqNullSafe(F.col("abnormal"))).drop("was", "n", "before", "hour")
 
 
-def regressions(runs: DataFrame, window: int = 4) -> DataFrame:
-    """Values of a label over 10 % and two deviations above the median of its last runs."""
+def claim_refusals(new: DataFrame, claims: DataFrame) -> DataFrame:
+    """Claims asked for (new_id, path, start, end, exclusive) with the first of the held ones (claim_id, ...) that refuses each: the ranges overlap and one of both is exclusive.
+
+    Held claims of a path that have the same range and scope count as the first of them.
+    """
+    held = claims.groupBy("path", "start", "end", "exclusive").agg(F.min("claim_id").alias("claim_id"))
+    held = held.select(F.col("path").alias("of"), F.col("start").alias("from"), F.col("end").alias("to"), F.col("exclusive").alias("alone"), "claim_id")
+    met = new.join(held, (F.col("path") == F.col("of")) & (F.col("start") < F.col("to")) & (F.col("from") < F.col("end")) & (F.col("exclusive") | F.col("alone")))
+    return met.groupBy("new_id").agg(F.min("claim_id").alias("refused_by"))
+
+
+def regressions(runs: DataFrame, window: int = 4, higher_is_worse: bool = True) -> DataFrame:
+    """Values of a label over 10 % and two deviations on the wrong side of the median of its last runs."""
     order = Window.partitionBy("label").orderBy("day").rowsBetween(-window, -1)
     past = runs.select("label", "day", "value", F.collect_list("value").over(order).alias("past")).where(F.size("past") >= 2)
     mean = F.aggregate("past", F.lit(0.0), lambda a, x: a + x) / F.size("past")
@@ -145,5 +156,8 @@ def regressions(runs: DataFrame, window: int = 4) -> DataFrame:
     median = (F.get(ranked, (F.ceil(half) - 1).cast("int")) + F.get(ranked, F.floor(half).cast("int"))) / 2
     past = past.withColumn("mean", mean).withColumn("median", median)
     deviation = F.sqrt(F.aggregate("past", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("past"))
-    past = past.withColumn("deviation", deviation).where((F.col("median") > 0) & (F.col("value") > F.col("median") * 1.1) & (F.col("value") - F.col("median") > F.col("deviation") * 2))
+    past = past.withColumn("deviation", deviation).where(F.col("median") > 0)
+    change = F.col("value") - F.col("median") if higher_is_worse else F.col("median") - F.col("value")
+    far = F.col("value") > F.col("median") * 1.1 if higher_is_worse else F.col("value") < F.col("median") * 0.9
+    past = past.where(far & (change > F.col("deviation") * 2))
     return past.select("label", "day", F.round("value", 4).alias("value"), F.round("median", 4).alias("median"))

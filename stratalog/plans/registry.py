@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.operators import catalog, content, ordered
+from stratalog.operators import catalog, content, logs, ordered, tiering
 
 from .views import Views
 
@@ -218,26 +218,44 @@ def regressions(v: Views) -> DataFrame:
     return ordered.regressions(runs)
 
 
+@query("""SELECT label, day, round(value, 4) AS value, round(median, 4) AS median FROM (SELECT *, quantile_cont(value, 0.5) OVER w AS median, stddev_pop(value) OVER w AS deviation, count(*) OVER w AS n
+    FROM (SELECT event_type AS label, ts::DATE AS day, avg(value) AS value FROM events GROUP BY ALL) WINDOW w AS (PARTITION BY label ORDER BY day ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) WHERE n >= 2 AND median > 0 AND value < median * 0.9 AND median - value > deviation * 2""")
+def throughput_regressions(v: Views) -> DataFrame:
+    runs = v.audit.groupBy(F.col("event_type").alias("label"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
+    return ordered.regressions(runs, higher_is_worse=False)
+
+
+@query("""SELECT e.event_id AS new_id, min(c.id) AS refused_by FROM (SELECT event_id, event_id % 500 AS path, (event_id % 60) * 2 AS start, (event_id % 60) * 2 + 5 AS stop, event_id % 2 = 0 AS exclusive FROM events) e
+    JOIN (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 500 AS path, (l_linenumber * 10)::BIGINT AS start, (l_linenumber * 10 + l_quantity::BIGINT)::BIGINT AS stop, l_suppkey % 3 = 0 AS exclusive FROM lineitem) c
+    ON e.path = c.path AND e.start < c.stop AND c.start < e.stop AND (e.exclusive OR c.exclusive) GROUP BY 1""")
+def claim_refusals(v: Views) -> DataFrame:
+    key = F.col("event_id")
+    new = v.table("events").select(key.alias("new_id"), (key % 500).alias("path"), (key % 60 * 2).alias("start"), (key % 60 * 2 + 5).alias("end"), (key % 2 == 0).alias("exclusive"))
+    start = (F.col("l_linenumber") * 10).cast("long")
+    held = v.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), (F.col("l_partkey") % 500).alias("path"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), (F.col("l_suppkey") % 3 == 0).alias("exclusive"))
+    return ordered.claim_refusals(new, held)
+
+
 @query(f"SELECT user_id AS hash, count(*) AS hourly FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOURS AND ts <= TIMESTAMP '{NOW}' GROUP BY 1 ORDER BY hourly DESC, hash LIMIT 100")
 def hot_chunks(v: Views) -> DataFrame:
     recent = v.access.where(f"ts >= timestamp_ntz'{NOW}' - interval 24 hours and ts <= timestamp_ntz'{NOW}'")
-    return recent.groupBy("hash").agg(F.count("*").alias("hourly")).orderBy(F.desc("hourly"), "hash").limit(100)
+    return tiering.hot(recent.groupBy("hash").agg(F.count("*").alias("hourly")), 1)
 
 
 @query(f"SELECT user_id AS hash, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '{NOW}' - INTERVAL 1 DAYS")
 def cold_chunks(v: Views) -> DataFrame:
-    return v.access.groupBy("hash").agg(F.max("ts").alias("last")).where(f"last < timestamp_ntz'{NOW}' - interval 1 days")
+    return tiering.cold(v.access.groupBy("hash").agg(F.max("ts").alias("last")), "2024-01-30 00:00:00")
 
 
 @query("SELECT event_id AS id, ts, event_type, user_id AS actor_uid FROM events WHERE event_type IN ('error', 'purchase') AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts, id LIMIT 100")
 def audit_query(v: Views) -> DataFrame:
-    found = v.audit.where("event_type in ('error', 'purchase') and ts >= timestamp_ntz'2024-01-05 00:00:00' and ts <= timestamp_ntz'2024-01-20 00:00:00'")
-    return found.select("id", "ts", "event_type", "actor_uid").orderBy("ts", "id").limit(100)
+    found = logs.audit(v.audit, event_type=["error", "purchase"], since="2024-01-05 00:00:00", until="2024-01-20 00:00:00")
+    return found.select("id", "ts", "event_type", "actor_uid")
 
 
 @query(f"SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS jobs, count(*) FILTER (o_orderdate + INTERVAL 30 DAYS < TIMESTAMP '{NOW_ORDERS}') AS expired FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY ALL")
 def job_backlog(v: Views) -> DataFrame:
-    return v.jobs.where("status in ('O', 'P')").groupBy("status", "priority").agg(F.count("*").alias("jobs"), F.count_if(F.expr(f"expires_at < timestamp_ntz'{NOW_ORDERS}'")).alias("expired"))
+    return logs.backlog(v.jobs, ["O", "P"], NOW_ORDERS)
 
 
 @query(f"""SELECT source, sum(n)::BIGINT AS chunks, count(*) AS stored_chunks, sum(n * length)::BIGINT AS bytes, sum(length)::BIGINT AS stored_bytes FROM (SELECT source, sha256(piece) AS hash, count(*) AS n, max(octet_length(piece)) AS length
