@@ -257,3 +257,19 @@ def assembled(parts: DataFrame, first: int, last: int) -> DataFrame:
     body = F.aggregate("p", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["piece"]))
     zeros = F.unhex(F.repeat(F.lit("00"), (F.lit(last - first) - F.octet_length("body")).cast("int")))
     return lists.select("file_id", body.alias("body")).select("file_id", F.concat("body", zeros).alias("data"))
+
+
+def manifest_entries(files: DataFrame, access: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Files (file_id, path, size) with their access list (file_id, mode) and attributes (file_id, attributes) where they have any."""
+    return files.join(access.select("file_id", "mode"), "file_id", "left").join(attributes.select("file_id", "attributes"), "file_id", "left").select("path", "size", "mode", "attributes")
+
+
+def kept_locations(locations: DataFrame, excess: DataFrame) -> DataFrame:
+    """Per chunk its drives without the excess ones (chunk_id, drive_id), in order."""
+    return locations.join(excess, ["chunk_id", "drive_id"], "left_anti").groupBy("chunk_id").agg(F.sort_array(F.collect_list("drive_id")).alias("drives"))
+
+
+def extent_marks(extents: DataFrame, readable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks that extents (volume_id, chunk_id) of readable volumes name, volumes that could not be read)."""
+    known = F.broadcast(readable.select("volume_id").distinct())
+    return extents.join(known, "volume_id", "left_semi").select("chunk_id").distinct(), extents.select("volume_id").distinct().join(known, "volume_id", "left_anti")

@@ -241,3 +241,47 @@ def directory_entries(v: Views) -> DataFrame:
     inside = paths.listed(v.files, "/Brand#3/SMALL").withColumn("file_id", F.col("name").cast("long"))
     sizes = v.files.select("file_id", (F.col("file_id") * 10).alias("size"))
     return top.union(inside.join(sizes, "file_id", "left").select("name", "is_dir", F.col("entries").alias("files"), "size"))
+
+
+@query(f"SELECT chunk_id, volume_id FROM v_chunks WHERE chunk_id IN (SELECT chunk_id FROM v_locations JOIN v_drives USING (drive_id) WHERE node = {NODE})")
+def node_chunks(v: Views) -> DataFrame:
+    return files.chunks_at(v.chunks, v.locations, v.drives, NODE).select("chunk_id", "volume_id")
+
+
+@query("SELECT path, file_id * 10 AS size, CASE WHEN file_id % 3 = 0 THEN file_id % 512 END AS mode, CASE WHEN file_id % 4 = 0 THEN 'k=' || file_id END AS attributes FROM v_files")
+def manifest_entries(v: Views) -> DataFrame:
+    key = F.col("file_id")
+    access = v.files.where("file_id % 3 = 0").select("file_id", (key % 512).alias("mode"))
+    attributes = v.files.where("file_id % 4 = 0").select("file_id", F.concat(F.lit("k="), key.cast("string")).alias("attributes"))
+    return files.manifest_entries(v.files.select("file_id", "path", (key * 10).alias("size")), access, attributes)
+
+
+@query("SELECT chunk_id, array_to_string(list(drive_id ORDER BY drive_id), ',') AS drives FROM v_locations WHERE (chunk_id + drive_id) % 4 <> 0 GROUP BY 1")
+def kept_locations(v: Views) -> DataFrame:
+    kept = files.kept_locations(v.locations, v.locations.where("(chunk_id + drive_id) % 4 = 0"))
+    return kept.withColumn("drives", F.array_join(F.transform("drives", lambda d: d.cast("string")), ","))
+
+
+@query("SELECT chunk_id, volume_id, CASE WHEN chunk_id IN (SELECT chunk_id FROM v_chunks WHERE chunk_id % 3 = 0 AND volume_id % 4 <> 1) THEN 'kept' WHEN (volume_id % 4 = 1 AND volume_id IN (SELECT volume_id FROM v_chunks WHERE chunk_id % 3 = 0)) OR NOT committed OR active_writes THEN 'protected' ELSE 'garbage' END AS fate FROM v_chunks")
+def extent_sweep(v: Views) -> DataFrame:
+    extents = v.chunks.where("chunk_id % 3 = 0").select("volume_id", "chunk_id")
+    marks, unread = files.extent_marks(extents, v.volumes.where("volume_id % 4 <> 1"))
+    return files.guarded_sweep(v.chunks, marks, unread)
+
+
+@query("SELECT file_id, count(*) FILTER (stop <= 20000) AS prefix, count(*) FILTER (start < 40000 AND stop > 20000) AS affected, count(*) FILTER (start >= 40000) AS suffix, coalesce(sum(stop - start) FILTER (start < 40000 AND stop > 20000), 0)::BIGINT AS covered FROM (SELECT file_id, (pos - 1) // 4 AS stripe, min(start) AS start, max(stop) AS stop FROM v_offsets GROUP BY ALL) GROUP BY 1")
+def stripe_regions(v: Views) -> DataFrame:
+    sized = ordered.chunk_offsets(v.file_chunks, v.chunks).select("file_id", "pos", (F.col("end") - F.col("start")).alias("stored_size"))
+    return files.write_regions(files.stripe_offsets(sized, 4), 20_000, 40_000)
+
+
+@query("SELECT o_orderkey AS key, ('0x' || substring(sha256(o_orderkey::VARCHAR), 1, 2))::BIGINT AS segment FROM orders")
+def key_segments(v: Views) -> DataFrame:
+    key = F.col("o_orderkey")
+    return v.table("orders").select(key.alias("key"), placement.segment_of(key.cast("string")).alias("segment"))
+
+
+@query("SELECT l_orderkey % 25 AS volume_id, count(*) AS files, sum(l_quantity::BIGINT)::BIGINT AS bytes FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1")
+def reconciled_counters(v: Views) -> DataFrame:
+    live = v.table("lineitem").where("l_returnflag <> 'R'")
+    return live.groupBy((F.col("l_orderkey") % 25).alias("volume_id")).agg(F.count("*").alias("files"), F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
