@@ -285,3 +285,12 @@ def key_segments(v: Views) -> DataFrame:
 def reconciled_counters(v: Views) -> DataFrame:
     live = v.table("lineitem").where("l_returnflag <> 'R'")
     return live.groupBy((F.col("l_orderkey") % 25).alias("volume_id")).agg(F.count("*").alias("files"), F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
+
+
+def content_chunks(spark, sf_dir: str) -> DataFrame:
+    """Content-defined chunks of every document; the sizes suit texts of a few kilobytes."""
+    return content.defined_chunks(Views(spark, sf_dir).content.select("file_id", F.col("text").cast("binary").alias("body")), 256, 1_024, 4_096)
+
+
+#: Queries that SQL cannot express; tests hold them against brute force.
+BEYOND_SQL = {"content_chunks": content_chunks}

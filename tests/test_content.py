@@ -4,6 +4,7 @@ import hashlib
 import random
 
 from stratalog.operators import content, files
+from stratalog.plans import lists
 
 
 def by_hand(body, least, target, most):
@@ -43,3 +44,14 @@ def test_assembled_ranges_end_in_zeros(spark):
     text = spark.createDataFrame([(1, "s", "a" * 10 + "b" * 10), (2, "s", "c" * 3)], "file_id bigint, source string, text string")
     got = {r.file_id: bytes(r.data) for r in files.assembled(content.fixed_pieces(text, 7), 5, 25).collect()}
     assert got == {1: b"a" * 5 + b"b" * 10 + b"\0" * 5}
+
+
+def test_content_chunks_of_the_documents(spark):
+    got = {}
+    for r in lists.content_chunks(spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r.file_id, []).append((r.pos, r.start, r.length))
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    for r in rows[:60]:
+        want = by_hand((r.text or "").encode(), 256, 1_024, 4_096)
+        assert sorted(got.get(r.doc_id, [])) == [(k, a, n) for k, (a, n) in enumerate(want)]
+    assert set(got) == {r.doc_id for r in rows if r.text}
