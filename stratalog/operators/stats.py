@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import running_total
+
 
 def metrics(events: DataFrame, name: str, value: str, at: list[str], buckets: list[float]) -> DataFrame:
     """Per metric: count, sum, last value, and events at or below each of some bounds."""
@@ -31,9 +33,9 @@ def nearest_rank(events: DataFrame, group: str, value: str, percents: tuple[int,
 
 
 def clamped_totals(deltas: DataFrame, group: str, order: list[str], delta: str) -> DataFrame:
-    """Per group: the sum of signed deltas in order, never below 0 on the way: the whole sum less the least running sum, if that is negative."""
-    run = F.sum(delta).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return deltas.withColumn("run", run).groupBy(group).agg((F.sum(delta) - F.least(F.lit(0), F.min("run"))).alias("total"))
+    """Per group: the sum of signed deltas in order (the first of it a time), never below 0 on the way: the whole sum less the least running sum, if that is negative."""
+    run = running_total(deltas, group, F.date_trunc("hour", order[0]), order, delta, "run")
+    return run.groupBy(group).agg((F.sum(delta) - F.least(F.lit(0), F.min("run"))).alias("total"))
 
 
 def newest_by_clock(rows: DataFrame, group: str, wall: str, counter: str, node: str) -> DataFrame:

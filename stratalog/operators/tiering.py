@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .logs import moment
+from .ordered import running_total
 
 #: Hours that count for a chunk that was never read, what a read a day weighs in hours, daily reads for promotion, idle seconds for demotion, idle cycles before counts go.
 NEVER_HOURS, FREQUENCY, PROMOTE_AT, DEMOTE_AFTER, IDLE_CYCLES = 87_600.0, 10, 10, 86_400, 3
@@ -90,12 +91,18 @@ def decayed(access: DataFrame, now: str) -> DataFrame:
 
 
 def pruned(counts: DataFrame, most: int) -> DataFrame:
-    """The counts (hash, hourly, daily, last, staleness) that stay when there are more than `most`: inactive ones go first, the stalest and then the oldest of them, then the oldest of all."""
+    """The counts (hash, hourly, daily, last, staleness) that stay when there are more than `most`: inactive ones go first, the stalest and then the oldest of them, then the oldest of all.
+
+    Places in both orders are running counts over deals by staleness and hour, so neither
+    order passes through one task.
+    """
     over = max(0, counts.count() - most)
     if not over:
         return counts
-    inactive = counts.where("hourly = 0 and daily = 0").orderBy(F.desc("staleness"), "last", "hash").limit(over).select("hash")
-    left = counts.join(inactive, "hash", "left_anti")
+    rows = counts.withColumn("idle", (F.col("hourly") == 0) & (F.col("daily") == 0)).withColumn("one", F.lit(1)).withColumn("all", F.lit(0))
+    hour = F.date_trunc("hour", "last")
+    idle = running_total(rows.where("idle"), "all", F.struct(-F.col("staleness"), hour), [F.desc("staleness"), "last", "hash"], "one", "place").where(F.col("place") > over).drop("place")
+    left = rows.where("not idle").unionByName(idle.select(*rows.columns))
     more = max(0, left.count() - most)
-    oldest = left.orderBy("last", "hash").limit(more).select("hash")
-    return left.join(oldest, "hash", "left_anti") if more else left
+    kept = running_total(left, "all", hour, ["last", "hash"], "one", "place").where(F.col("place") > more)
+    return kept.select(*counts.columns)

@@ -49,7 +49,7 @@ def access_decisions(v: Views) -> DataFrame:
     return found.groupBy("object_id").agg(F.count_if("allowed").alias("granted"), F.count_if(~F.col("allowed")).alias("denied"))
 
 
-@query("SELECT n_nationkey::BIGINT AS volume_id, [4, 6, 7][(n_nationkey % 3 + 1)::INT] | CASE WHEN n_nationkey % 2 = 0 THEN 4 ELSE 0 END AS bits FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, NULL FROM nation WHERE n_nationkey % 5 = 0")
+@query("SELECT n_nationkey::BIGINT AS volume_id, ([4, 6, 7][(n_nationkey % 3 + 1)::INT] | CASE WHEN n_nationkey % 2 = 0 THEN 4 ELSE 0 END)::BIGINT AS bits FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, NULL FROM nation WHERE n_nationkey % 5 = 0")
 def volume_permissions(v: Views) -> DataFrame:
     names = F.array(F.element_at(F.array(*map(F.lit, access.VOLUME_BITS)), (F.col("volume_id") % 3 + 1).cast("int")), F.when(F.col("volume_id") % 2 == 0, "read").otherwise(F.element_at(F.array(*map(F.lit, access.VOLUME_BITS)), (F.col("volume_id") % 3 + 1).cast("int"))))
     asked = F.when(F.col("volume_id") % 5 == 0, F.array(F.lit("own"))).otherwise(names)
