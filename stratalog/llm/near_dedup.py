@@ -190,9 +190,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def hub_pairs(rooted: DataFrame) -> DataFrame:
+def hub_pairs(rooted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Pairs (a, b) of each member and the hub of its bucket, where these have different roots; the least rank makes the hub."""
-    hubs = rooted.groupBy("bucket").agg(F.min(F.struct("rank", "doc_id", "root")).alias("hub"))
+    # a table of its own, so that the join reads two plain shuffles, of which Spark can split a large bucket
+    hubs = scratch.save(rooted.groupBy("bucket").agg(F.min(F.struct("rank", "doc_id", "root")).alias("hub")), name)
     met = rooted.select("bucket", "doc_id", "root").join(hubs, "bucket").where("root <> hub.root")
     return met.select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
 
@@ -215,7 +216,8 @@ def rare_pairs(open_docs: DataFrame, sets: DataFrame, percent: int, scratch: Scr
     """
     about = open_docs.join(sets.select("doc_id", "odd", F.size("shingles").alias("n")), "doc_id")
     tokens = sets.join(open_docs.select("doc_id"), "doc_id").select("doc_id", F.explode("shingles").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    # tables of their own, so that the joins read plain shuffles, of which Spark can split a large token
+    counts = scratch.save(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "often")
     shared = tokens.join(counts, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("sorted"))
     # shingles of one document only come first in the order and meet nothing
     alone, most = F.col("n") - F.size("sorted"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -226,6 +228,7 @@ def rare_pairs(open_docs: DataFrame, sets: DataFrame, percent: int, scratch: Scr
     )
     prefix = scratch.save(prefix, "prefix")
     mixed = prefix.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    mixed = scratch.save(mixed, "meeting")
     prefix = scratch.save(prefix.join(mixed, "token").join(about.select("doc_id", "n", "odd"), "doc_id"), "mixed")
     left = prefix.select("token", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rest").alias("la"), F.col("odd").alias("oa"))
     right = prefix.select("token", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rest").alias("lb"), F.col("odd").alias("ob"))
@@ -262,18 +265,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = members.join(weights, "doc_id").select("bucket", "doc_id", F.col("doc_id").alias("root"), F.negative("weight").alias("rank"))
     rooted, roots = scratch.save(rooted, "rooted-0"), weights.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root"))
     for k in range(1, ROUNDS + 1):
-        pairs = scratch.save(alike_signatures(signed(hub_pairs(rooted), signs), least), f"pairs-{k}")
+        pairs = scratch.save(alike_signatures(signed(hub_pairs(rooted, scratch, f"hubs-{k}"), signs), least), f"pairs-{k}")
         links = scratch.save(confirmed(pairs, sets, like.percent), f"links-{k}")
         if not links.limit(1).count():
             break
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), scratch, f"cc-{k}")
         found = rooted.drop("root").join(roots, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        found = scratch.save(found, f"found-{k}")
         unsettled = found.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        unsettled = scratch.save(unsettled, f"unsettled-{k}")
         rooted = scratch.save(found.join(unsettled, "bucket").withColumn("rank", F.xxhash64("doc_id", F.lit(k))), f"rooted-{k}")
-        scratch.drop(f"rooted-{k - 1}", f"pairs-{k}", f"links-{k}")
+        scratch.drop(f"rooted-{k - 1}", f"pairs-{k}", f"links-{k}", f"hubs-{k}", f"found-{k}", f"unsettled-{k}")
     open_docs = scratch.save(rooted.select("doc_id", "root").distinct(), "open")
     more = scratch.save(confirmed(rare_pairs(open_docs, sets, like.percent, scratch), sets, like.percent), "more")
-    scratch.drop("members", "signs", "sets", "prefix", "mixed")
+    scratch.drop("members", "signs", "sets", "prefix", "mixed", "often", "meeting")
     if more.limit(1).count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch, "again")
     classes = classes.join(roots, F.col("rep") == F.col("node"), "left").select("whole", F.coalesce("root", "rep").alias("component"))
