@@ -47,7 +47,3 @@ def fair_order(queue: DataFrame, group: str, weight: str, arrival: list[str]) ->
     """A backlog in the order of weighted fair queueing: each item's virtual finish is its place in its group over the group's weight; ties go to the greater weight."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(*arrival))
     return queue.withColumn("finish", place / F.col(weight))
-
-
-def histogram(events: DataFrame, group: str) -> DataFrame:
-    return events.groupBy(group).agg(F.count("*").alias("n"))
