@@ -75,10 +75,11 @@ def collided(everything: DataFrame, repeated: DataFrame, scratch: Scratch, run:
     keepers = repeated.select(F.col("first.locator").alias("locator"))
     if keepers.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4:
         repeated, keepers = F.broadcast(repeated), F.broadcast(keepers)
-    kept = located(everything, "digest", normalised(F.col("text")).alias("keeper")).join(keepers, "locator", "left_semi").drop("locator")
+    # only texts that are compared are normalised again
+    kept = located(everything, "digest", "text").join(keepers, "locator", "left_semi").select("digest", normalised(F.col("text")).alias("keeper"))
     kept = scratch.save(kept, "keepers")  # so that the join reads two plain shuffles, of which Spark can split a large key
-    hits = located(everything.where(F.col("run") == run), "digest", normalised(F.col("text")).alias("norm")).join(repeated.select("digest", "first"), "digest").where("locator <> first.locator")
-    return scratch.save(hits.select("digest", "norm"), "hits").join(kept, "digest").where("norm <> keeper").select("digest")
+    hits = located(everything.where(F.col("run") == run), "digest", "text").join(repeated.select("digest", "first"), "digest").where("locator <> first.locator")
+    return scratch.save(hits.select("digest", normalised(F.col("text")).alias("norm")), "hits").join(kept, "digest").where("norm <> keeper").select("digest")
 
 
 def regrouped(everything: DataFrame, decided: DataFrame, wrong: DataFrame) -> DataFrame:
