@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Volumes that the part, order and chunk keys are dealt to.
 VOLUMES = 25
+#: Rows of lineitem for each task that copies of chunks are dealt to, and tasks from which their number is fixed.
+TASK_ROWS, FEW_TASKS = 250_000, 8
 
 
 class Views:
@@ -19,6 +23,17 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks for what goes over all copies: their number grows with the copies, so that the share of one does not."""
+        return self.table("lineitem").count() // TASK_ROWS + 1
+
+    def dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows dealt by a key. A few tasks are left to Spark, which may join small ones; many are not, as it would join them until each holds a fixed share of all."""
+        if self.tasks < FEW_TASKS:
+            return rows.repartition(key)
+        return rows.repartition(max(self.tasks, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
     @property
     def volumes(self) -> DataFrame:
         return self.table("nation").select(
@@ -41,7 +56,7 @@ class Views:
     @property
     def locations(self) -> DataFrame:
         # dealt by chunk once: the distinct rows, copies per chunk and joins on it need no further shuffle
-        return self.table("lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("drive_id")).repartition("chunk_id").distinct()
+        return self.dealt(self.table("lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("drive_id")), "chunk_id").distinct()
 
     @property
     def references(self) -> DataFrame:
