@@ -161,7 +161,7 @@ def ring_changes(v: Views) -> DataFrame:
 
 @query("""SELECT target_id, count(*) AS locks, max(lock_id) AS last FROM v_targets t JOIN v_locks l ON t.path = l.path OR (l.deep AND starts_with(t.path, l.path || '/')) GROUP BY 1""")
 def covering_locks(v: Views) -> DataFrame:
-    return paths.covering_locks(v.targets, v.locks).groupBy("target_id").agg(F.count("*").alias("locks"), F.max("lock_id").alias("last"))
+    return paths.covering_locks(v.targets, v.locks)
 
 
 @query("SELECT root, count(*) AS locks FROM (SELECT DISTINCT '/src' || doc_id % 20 AS root FROM documents) JOIN v_locks ON starts_with(path, root || '/') GROUP BY 1")
@@ -174,7 +174,7 @@ def locks_below(v: Views) -> DataFrame:
     ON (a.path = l.path OR (l.deep AND starts_with(a.path, l.path || '/')) OR (a.deep AND starts_with(l.path, a.path || '/'))) AND (a.exclusive OR l.exclusive) GROUP BY 1""")
 def lock_overlaps(v: Views) -> DataFrame:
     asked = v.targets.select(F.col("target_id").alias("asked_id"), "path", (F.col("target_id") % 3 == 0).alias("deep"), (F.col("target_id") % 2 == 0).alias("exclusive"))
-    return paths.lock_overlaps(asked, v.locks).groupBy("asked_id").agg(F.count("*").alias("conflicts"))
+    return paths.lock_overlaps(asked, v.locks)
 
 
 KIND = "['path', 'create', 'pinned', 'subtree', 'byte_range'][(lock_id % 5 + 1)::INT]"
@@ -186,7 +186,7 @@ def claim_overlaps(v: Views) -> DataFrame:
     new = v.targets.select(F.col("target_id").alias("new_id"), "path", F.when(F.col("target_id") % 4 == 0, "subtree").otherwise("create").alias("kind"), (F.col("target_id") % 2 == 0).alias("exclusive"))
     kinds = F.array(*map(F.lit, ("path", "create", "pinned", "subtree", "byte_range")))
     claims = v.locks.select(F.col("lock_id").alias("claim_id"), "path", F.element_at(kinds, (F.col("lock_id") % 5 + 1).cast("int")).alias("kind"), "exclusive")
-    return paths.claim_overlaps(new, claims).groupBy("new_id").agg(F.count("*").alias("conflicts"))
+    return paths.claim_overlaps(new, claims)
 
 
 @query("SELECT a.file_id, count(*) AS conflicts FROM v_ranges a JOIN v_ranges b ON a.file_id = b.file_id AND a.id < b.id AND a.client <> b.client AND a.start < b.stop AND b.start < a.stop AND (a.exclusive OR b.exclusive) GROUP BY 1")
