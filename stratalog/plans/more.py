@@ -90,7 +90,7 @@ def stripe_targets(v: Views) -> DataFrame:
 
 @query("SELECT stripe_id, count(DISTINCT drive_id) AS drives, count(DISTINCT node) AS nodes, count(DISTINCT node) >= 3 AS safe FROM v_shards JOIN v_locations USING (chunk_id) JOIN v_drives USING (drive_id) GROUP BY 1")
 def placement_check(v: Views) -> DataFrame:
-    return placement.placement_check(v.shards.join(v.locations, "chunk_id"), v.drives, 2)
+    return placement.placement_check(v.dealt(v.shards.join(v.locations, "chunk_id").select("stripe_id", "drive_id"), "stripe_id"), v.drives, 2)
 
 
 SCORE = f"CASE WHEN tier IS NULL THEN 100 WHEN tier = 'hot' THEN CASE WHEN node = {NODE} THEN 0 ELSE 10 END WHEN state = 'standby' THEN 50 WHEN node = {NODE} THEN 20 ELSE 30 END"
@@ -292,7 +292,7 @@ SCORED = f"SELECT c.chunk_id, tier, daily, last, CASE WHEN last IS NULL THEN -87
     SELECT *, tier = 'warm' AND row_number() OVER (PARTITION BY tier ORDER BY score, chunk_id) <= 10 AS evict,
     CASE WHEN coalesce(daily, 0) >= 10 AND tier <> 'hot' THEN 'promote' WHEN (last IS NULL OR epoch(TIMESTAMP '{NOW}') - epoch(date_trunc('second', last)) > 86400) AND tier <> 'cold' THEN 'demote' END AS reason FROM ({SCORED})) WHERE evict OR reason IS NOT NULL""")
 def tier_moves(v: Views) -> DataFrame:
-    placed = v.locations.join(v.drives.select("drive_id", "tier"), "drive_id").groupBy("chunk_id").agg(F.min_by("tier", "drive_id").alias("tier"))
+    placed = v.locations.join(F.broadcast(v.drives.select("drive_id", "tier")), "drive_id").groupBy("chunk_id").agg(F.min_by("tier", "drive_id").alias("tier"))
     full = v.drives.select("tier").where("tier = 'warm'")
     return tiering.moves(placed, v.stats.withColumn("daily", F.col("daily") % 20), full, NOW, 100)
 
@@ -565,7 +565,7 @@ def commit_options(v: Views) -> DataFrame:
 def reconciled_chunks(v: Views) -> DataFrame:
     drives = lambda cond: v.locations.where(cond).groupBy("chunk_id").agg(F.collect_list("drive_id").alias("drives"))
     old = v.chunks.where("chunk_id % 4 <> 0").select("chunk_id").join(drives("chunk_id % 4 <> 0"), "chunk_id", "left").withColumn("drives", F.coalesce("drives", F.array().cast("array<bigint>")))
-    return files.reconciled(v.chunks, drives("drive_id % 2 = 0"), old).withColumn("drives", F.array_join(F.transform("drives", lambda d: d.cast("string")), ","))
+    return files.reconciled(v.dealt(v.chunks.select("chunk_id"), "chunk_id"), drives("drive_id % 2 = 0"), old).withColumn("drives", F.array_join(F.transform("drives", lambda d: d.cast("string")), ","))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new:1' ELSE 'kept:' || c_nationkey || CASE WHEN c_custkey % 3 = 1 THEN ',set:' || c_custkey ELSE '' END END AS labels FROM customer")
