@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def copies(chunks: DataFrame, locations: DataFrame) -> DataFrame:
@@ -93,13 +94,12 @@ def snapshot_diff(base: DataFrame, now: DataFrame) -> DataFrame:
 
 def stop_safety(volumes: DataFrame, chunks: DataFrame, locations: DataFrame, drives: DataFrame) -> DataFrame:
     """Per node: its chunks that would have no copy, or too few, on active drives of other nodes if it stopped."""
-    placed = locations.join(drives.select("drive_id", "node", "state"), "drive_id")
-    trusted = placed.where("state = 'active'").groupBy("chunk_id", "node").agg(F.count("*").alias("own"))
-    total = trusted.groupBy("chunk_id").agg(F.sum("own").alias("all"))
+    placed = locations.join(F.broadcast(drives.select("drive_id", "node", "state")), "drive_id")
+    # one pass over a chunk's copies: its active ones by node, and the sum of them over its nodes
+    held = placed.groupBy("chunk_id", "node").agg(F.count_if(F.col("state") == "active").alias("own")).withColumn("all", F.sum("own").over(Window.partitionBy("chunk_id")))
     need = chunks.join(volumes.select("volume_id", "min_copies"), "volume_id", "left").select("chunk_id", F.coalesce("min_copies", F.lit(1)).alias("need"))
-    held = placed.select("node", "chunk_id").distinct().join(trusted, ["node", "chunk_id"], "left").join(total, "chunk_id", "left").join(need, "chunk_id")
-    left = F.coalesce("all", F.lit(0)) - F.coalesce("own", F.lit(0))
-    return held.groupBy("node").agg(F.count("*").alias("chunks"), F.count_if(left == 0).alias("stranded"), F.count_if((left > 0) & (left < F.col("need"))).alias("below_min"))
+    left = F.col("all") - F.col("own")
+    return held.join(need, "chunk_id").groupBy("node").agg(F.count("*").alias("chunks"), F.count_if(left == 0).alias("stranded"), F.count_if((left > 0) & (left < F.col("need"))).alias("below_min"))
 
 
 def pressure(usage: DataFrame, threshold: float) -> DataFrame:

@@ -160,7 +160,7 @@ def owner_minimum(v: Views) -> DataFrame:
 
 @query("SELECT node, count(*) AS rows, array_to_string(list(chunk_id ORDER BY chunk_id)[1:5], ',') AS sample FROM (SELECT node, chunk_id FROM (SELECT DISTINCT node, chunk_id FROM v_locations JOIN v_drives USING (drive_id)) GROUP BY ALL) WHERE chunk_id IN (SELECT chunk_id FROM v_locations JOIN v_drives USING (drive_id) GROUP BY 1 HAVING count(DISTINCT node) = 1) GROUP BY 1")
 def stranded_samples(v: Views) -> DataFrame:
-    held = v.locations.join(v.drives.select("drive_id", "node"), "drive_id").groupBy("chunk_id").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").select("node", "chunk_id")
+    held = v.locations.join(F.broadcast(v.drives.select("drive_id", "node")), "drive_id").groupBy("chunk_id").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").select("node", "chunk_id")
     return files.samples(held, "node", "chunk_id", 5).select("node", "rows", F.array_join(F.transform("sample", lambda c: c.cast("string")), ",").alias("sample"))
 
 
