@@ -9,6 +9,7 @@ from stratalog.plans import registry, views
 SF, ROWS = "/root/testdata/sf0.001", 300
 OVER_USAGE = [
     "cluster_capacity",
+    "drive_usage",
 ]
 
 
