@@ -10,6 +10,7 @@ SF, ROWS = "/root/testdata/sf0.001", 300
 OVER_USAGE = [
     "cluster_capacity",
     "drive_usage",
+    "pressure_levels",
 ]
 
 
