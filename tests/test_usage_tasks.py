@@ -11,6 +11,7 @@ OVER_USAGE = [
     "cluster_capacity",
     "drive_usage",
     "pressure_levels",
+    "rebalance_pairs",
 ]
 
 
