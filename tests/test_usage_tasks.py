@@ -12,6 +12,7 @@ OVER_USAGE = [
     "drive_usage",
     "pressure_levels",
     "rebalance_pairs",
+    "storage_health",
 ]
 
 
