@@ -13,6 +13,7 @@ OVER_USAGE = [
     "pressure_levels",
     "rebalance_pairs",
     "storage_health",
+    "storage_pressure",
 ]
 
 
