@@ -14,6 +14,7 @@ OVER_USAGE = [
     "rebalance_pairs",
     "storage_health",
     "storage_pressure",
+    "tier_balance",
 ]
 
 
