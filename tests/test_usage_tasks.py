@@ -15,6 +15,7 @@ OVER_USAGE = [
     "storage_health",
     "storage_pressure",
     "tier_balance",
+    "tier_usage",
 ]
 
 
