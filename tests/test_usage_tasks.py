@@ -16,6 +16,7 @@ OVER_USAGE = [
     "storage_pressure",
     "tier_balance",
     "tier_usage",
+    "any_tier_capacity",
 ]
 
 
