@@ -17,6 +17,7 @@ OVER_USAGE = [
     "tier_balance",
     "tier_usage",
     "any_tier_capacity",
+    "move_targets",
 ]
 
 
