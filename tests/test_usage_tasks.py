@@ -18,6 +18,7 @@ OVER_USAGE = [
     "tier_usage",
     "any_tier_capacity",
     "move_targets",
+    "write_targets",
 ]
 
 
