@@ -71,7 +71,7 @@ def volume_usage(v: Views) -> DataFrame:
 
 
 def usage(v: Views) -> DataFrame:
-    return catalog.drive_usage(v.drives, v.chunks, v.locations)
+    return catalog.drive_usage(v.drives, *v.sized_locations)
 
 
 @query("SELECT drive_id, node, tier, state, capacity_bytes, used, CASE WHEN capacity_bytes > 0 THEN greatest(0, capacity_bytes - used) END AS available FROM v_usage")

@@ -28,11 +28,14 @@ class Views:
         """Tasks for what goes over all copies: their number grows with the copies, so that the share of one does not."""
         return self.table("lineitem").count() // TASK_ROWS + 1
 
-    def dealt(self, rows: DataFrame, key: str) -> DataFrame:
-        """Rows dealt by a key. A few tasks are left to Spark, which may join small ones; many are not, as it would join them until each holds a fixed share of all."""
+    def dealt(self, rows: DataFrame, key: str, both: bool = False) -> DataFrame:
+        """Rows dealt by a key. A few tasks are left to Spark, which may join small ones; many are not, as it would join them until each holds a fixed share of all.
+
+        What meets rows that are not dealt takes as many tasks as Spark's shuffles at least, or Spark would deal it again; `both`: all that meets is dealt here.
+        """
         if self.tasks < FEW_TASKS:
             return rows.repartition(key)
-        return rows.repartition(max(self.tasks, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), key)
+        return rows.repartition(self.tasks if both else max(self.tasks, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), key)
 
     @property
     def volumes(self) -> DataFrame:
@@ -56,7 +59,17 @@ class Views:
     @property
     def locations(self) -> DataFrame:
         # dealt by chunk once: the distinct rows, copies per chunk and joins on it need no further shuffle
-        return self.dealt(self.table("lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("drive_id")), "chunk_id").distinct()
+        return self.dealt(self.copies, "chunk_id").distinct()
+
+    @property
+    def copies(self) -> DataFrame:
+        """chunk_id, drive_id, as often as a copy is named."""
+        return self.table("lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("drive_id"))
+
+    @property
+    def sized_locations(self) -> tuple[DataFrame, DataFrame]:
+        """Chunks and locations, both dealt by chunk to the same tasks, so that they meet there without a further shuffle."""
+        return self.dealt(self.chunks, "chunk_id", both=True), self.dealt(self.copies, "chunk_id", both=True).distinct()
 
     @property
     def references(self) -> DataFrame:

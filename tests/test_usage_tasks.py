@@ -48,3 +48,25 @@ def test_copies_are_met_in_as_many_tasks_as_they_need(spark, monkeypatch, name):
         spark.sparkContext.setLocalProperty("spark.job.description", None)
     assert many == plain
     assert most_tasks(spark, group) >= copies / ROWS
+
+
+@pytest.mark.parametrize("name", OVER_USAGE)
+def test_copies_are_met_in_no_more_tasks_than_they_need(spark, monkeypatch, name):
+    """Many shuffle partitions, each with pages of its own, are no reason for more tasks; chunks and copies meet without another shuffle."""
+    copies = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    plain = sorted(map(repr, registry.QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(views, "TASK_ROWS", ROWS, raising=False)
+    group = f"usage-least-{name}"
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        many = sorted(map(repr, registry.QUERIES[name](spark, SF).collect()))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert many == plain
+    assert most_tasks(spark, group) == copies // ROWS + 1
